@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import neardup
+from parley.llm import neardup, pii
 from parley.sources.tables import table
 
 
@@ -30,5 +30,24 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("tbl", "key", "node").distinct().join(classes, "node").join(ends, "node", "left").select("tbl", F.col("key").alias("row_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
+#: Table, key and text of the fields that mention private details.
+PII_FIELDS = (("meeting_items", "id", "content"), ("statements", "stmt_id", "raw_text"), ("intelligence_items", "item_id", "evidence_turn"))
+
+
+def _pii_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, t, key, text).where(F.col(text).isNotNull()).select(F.lit(t).alias("tbl"), F.col(key).alias("row_id"), F.col(text).alias("text")) for t, key, text in PII_FIELDS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Private details in three fields: kind and piece as written."""
+    return pii.find_pii(_pii_texts(spark, sf_dir)).distinct()
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three fields with placeholders in place of private details."""
+    return pii.masked(_pii_texts(spark, sf_dir)).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p3_masked": p3_masked}
 SQL: dict[str, str] = {}
