@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import neardup, pii
+from parley.llm import leaks, mixing, names, neardup, pii, spam, turns
 from parley.sources.tables import table
 
 
@@ -49,5 +49,59 @@ def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.masked(_pii_texts(spark, sf_dir)).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p3_masked": p3_masked}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered turns of each meeting, with their speaker's full name and clean words."""
+    rows = table(spark, sf_dir, "statements", "meeting_id", "turn_idx", "stmt_id", "speaker", "raw_text")
+    return turns.turns(rows, table(spark, sf_dir, "roster", "entity_kind", "full_name"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of which a text part holds 12 consecutive words of a test item."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "item_text"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that leaked, with the number of documents that reveal them."""
+    found = p6_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    return found.join(table(spark, sf_dir, "eval_items", "item_id", "suite").distinct(), "item_id", "left").select("item_id", "suite", "n_docs")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose speaker or owner means one roster entry but is written otherwise."""
+    fields = (("meeting_items", "id", "speaker"), ("intelligence_items", "item_id", "target_owner"), ("task_nodes", "node_id", "owner"))
+    parts = [table(spark, sf_dir, t, key, name).select(F.lit(t).alias("tbl"), F.col(key).alias("row_id"), F.col(name).alias("typed")) for t, key, name in fields]
+    return names.linked(parts[0].unionByName(parts[1]).unionByName(parts[2]), table(spark, sf_dir, "roster", "entity_id", "entity_kind", "full_name"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict], DataFrame]:
+    sizes = mixing.cut(mixing.token_sizes(table(spark, sf_dir, "documents", "doc_id", "text", "source")))
+    plans = mixing.plan(sizes, table(spark, sf_dir, "mix_targets"))
+    return sizes, plans, mixing.draws(sizes, plans)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the mix that each source gets, beside its target."""
+    sizes, plans, drawn = _mix(spark, sf_dir)
+    return mixing.report(drawn, sizes, plans)
+
+
+def p7_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return _mix(spark, sf_dir)[2]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that are lists of keywords, links or product tags."""
+    return spam.stuffed(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p8_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List density and share of replicated phrases of the messages that look like lists."""
+    return spam.evidence(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", F.round("density", 6).alias("density"), F.round("stitched", 6).alias("stitched"))
+
+
+QUERIES = {
+    f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_masked, p4_found, p5_found, p6_found, p6_report, p7_shares, p7_draws, p8_found, p8_evidence)
+}
+#: None of these can be told in SQL at the size of whole tables; tests compare them with brute force on small fixtures.
 SQL: dict[str, str] = {}
