@@ -380,6 +380,7 @@ def found_in(texts: list[str], field: Crf) -> list[list[tuple[str, int, int]]]:
 
 
 _DATE = re.compile(r"(?:19|20)\d\d-[01]\d-[0-3]\d$")
+_LABELLED = re.compile(r"[.*)\]]{0,3} ?:")
 _RUN = {
     "PHONE": re.compile(r"[+(]?\d[\d().-]*(?: ?[\d().-]*\d)*"),
     "ID_NUMBER": re.compile(r"(?:\b[A-Z]{1,3} ?)?\d[\d/-]*(?:[ /-]\d+)*(?: ?[A-Z]\b)?"),
@@ -403,6 +404,10 @@ def _checked(text: str, kind: str, i: int, j: int) -> tuple[str, int, int] | Non
             i += 1
     tail = {"PERSON_NAME": r"(?:[\s,;:-]+|(?<=\w\w\w)\.)$", "STREET_ADDRESS": r"(?:[\s,;:-]+|(?<!Rd)(?<!str)(?<!St)\.)$", "EMAIL": r"[\s.,;:]+$"}.get(kind, r"[\s.,;:)-]+$")
     j = i + len(re.sub(tail, "", text[i:j]))
+    if kind == "STREET_ADDRESS" and text[j : j + 1] == "." and text[j - 2 : j] == "Rd":
+        j += 1
+    if kind == "PERSON_NAME" and (_LABELLED.match(text, j) or text[max(0, i - 1) : i] in ("", "\n") and text.startswith(" - ", j)):
+        return None
     if kind == "ID_NUMBER" and _DATE.match(text[i:j]):
         return None
     return (kind, i, j) if _SHAPE[kind].match(text[i:j]) else None
