@@ -166,7 +166,7 @@ def labelled(n: int = 45, seed: int = 11) -> list[list[tuple[str, str]]]:
                     elif k < 0.75:
                         add(sound(), "NOISE")
                     elif k < 0.88 and w[:2].isalpha():
-                        f = w[: r.choice([1, 2])]
+                        f = w[: r.choice([1, 2, 2, 3])]
                         add(r.choice([f, f + "-" + f.lower()]) + "- ", "CUT")
                     elif w.isalpha():
                         add(r.choice([w, w + ", " + w]), "SPEECH")
@@ -236,7 +236,11 @@ def settled(toks: list[tuple[str, int, int]], tags: list[int]) -> list[int]:
                 named = named or t[0].isalpha()
                 closed = closed or named and t in ("-", " - ", "- ", ":", ")", "]")
         elif group == 3 and lettered:
-            out[i:j] = [0 if begun else 1 if t[0].isalpha() and k == 0 else 2 for k, t in enumerate(run)]
+            names = not begun and not labelled and any(t == ":" for t in run[max(k for k, t in enumerate(run) if t[0].isalpha()) :])
+            out[i:j] = [(2 if names else 0) if t[0].isalpha() else 3 for t in run]
+            labelled = labelled or names
+        elif group == 3 and begun and (":" not in run or run[0] not in "[(<"):
+            out[i:j] = [0] * (j - i)
         elif group == 4 and not (lettered and any(t in "[(<{*" for t in run)) or group == 6 and not any(t in ("- ", "-", " - ") for t in run):
             out[i:j] = [0] * (j - i)
         elif group == 4:
@@ -256,6 +260,10 @@ def settled(toks: list[tuple[str, int, int]], tags: list[int]) -> list[int]:
                 out[k] = 5
             begun = begun or out[k] == 0 and toks[k][0][0].isalnum()
         i = j
+    spoken = [k for k, (t, _, _) in enumerate(toks) if out[k] == 0 and t[0].isalnum()]
+    for a, b in zip(spoken, spoken[1:], strict=False):  # a beginning that the next word completes
+        if a + 1 < len(toks) and toks[a + 1][0] == "- " and len(toks[a][0]) < len(toks[b][0]) and toks[b][0].lower().startswith(toks[a][0].lower()):
+            out[a] = 6
     return out
 
 
@@ -308,14 +316,16 @@ def segments(df: DataFrame) -> DataFrame:
                     owner.append(k)
             tags = field.decode([t for _, toks in lines for t, _, _ in toks], np.array([len(toks) for _, toks in lines]))
             found: list[list[tuple[str, list[str]]]] = [[] for _ in given]
-            at = 0
+            at, before = 0, ""
             for k, (line, toks) in zip(owner, lines, strict=True):
                 for who, words in said(line, toks, tags[at : at + len(toks)]):
                     if who or not found[k]:
                         found[k].append((normal(who), words))
                     else:
-                        found[k][-1][1].extend(words)
-                at += len(toks)
+                        last = found[k][-1][1]
+                        again = bool(last and words) and last[-1] == words[0] and words[0].isalpha() and before[-1:] not in ".?!"
+                        last.extend(words[again:])  # a repeat over a line break
+                at, before = at + len(toks), line.rstrip()
             out = []
             for (meeting, turn, stmt, speaker, _), parts in zip(given, found, strict=True):
                 column = normal(speaker)
