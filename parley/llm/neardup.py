@@ -2,119 +2,291 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.llm.sketch import bands, sketches
 from parley.sources.tables import cut
 
-#: Words in more than this share of the texts don't enter the sketches (they do enter the exact check). As the shares
-#: of all words add up to the mean set size, at most size / COMMON words can be common.
+#: Words in more than this share of the texts don't enter the sketches (they do enter the check). As the shares of all
+#: words add up to the mean set size, at most size / COMMON words can be common.
 COMMON = 0.1
 ROWS, BANDS = 5, 32
 #: Sets with fewer uncommon words than this are also sketched whole.
 SMALL = 10
 #: Classes that a partition remembers so as not to sketch them twice; beyond it copies are sketched again, to the same buckets.
 SEEN = 500_000
+#: Distinct words that a partition counts or keeps hashes of before it starts anew.
+VOCABULARY = 200_000
 
+_WORD = re.compile(r"[^\W_]+")
 
-def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(tbl, key, words, node): for each key and text the distinct words of the text, sorted and joined by blanks, and their class.
 
-    df: columns tbl, `key`, `text`; others aren't read. Texts that are null or without words are left out. `node`
-    names equal word sets of one table: a 64-bit hash whose lowest byte is the number of words, at most 255.
+def words(text: str) -> set[str]:
+    """The distinct words of a text: maximal runs of letters and digits, lower-cased."""
+    return set(_WORD.findall(text.lower()))
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > VOCABULARY:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+    def node(self, tbl: str, found: set[str]) -> int:
+        """The class of a word set within a table: a 64-bit hash, the sum of its words', whose lowest byte is the number of words, at most 255."""
+        h = sum(map(self.__getitem__, found)) + self["\n" + tbl] & 0xFFFFFFFFFFFFFF00 | min(len(found), 255)
+        return h - (1 << 64) if h >> 63 else h
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, int, set[str]]]:
+    for tbl, key, text in zip(batch.column("tbl").to_pylist(), batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        if text and (found := words(text)):
+            yield tbl, key, found
+
+
+def members(texts: DataFrame) -> DataFrame:
+    """(tbl, key, node): the class of equal word sets of each record of texts (tbl, key, text).
+
+    Texts that are null or without words have none; rows delivered twice come out once. Other columns aren't read.
     """
-    words = F.filter(F.array_sort(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))), lambda w: w != "")
-    sets = df.where(F.col(text).isNotNull()).select("tbl", F.col(key).alias("key"), words.alias("w")).where(F.size("w") > 0)
-    sets = sets.withColumn("words", F.array_join("w", " "))
-    node = F.xxhash64("tbl", "words").bitwiseAND(F.lit(-256)).bitwiseOR(F.least(F.size("w"), F.lit(255)).cast("long"))
-    return sets.select("tbl", "key", "words", node.alias("node"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            out = [(t, k, hashes.node(t, w)) for t, k, w in _rows(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["tbl", "key", "node"])
 
-def common_words(sets: DataFrame, share: float) -> np.ndarray:
-    """Hashes of the words in more than `share` of the sets: at most mean set size / share of them, hence fit for the driver."""
-    n = sets.agg(F.count("*"))
-    counts = sets.select(F.explode(F.split("words", " ")).alias("w")).groupBy("w").count()
-    found = counts.where(F.col("count") > n.scalar() * share).select(F.xxhash64("w")).collect()
-    return np.array([r[0] for r in found], np.int64)
+    return texts.select("tbl", "key", "text").mapInArrow(run, "tbl string, key long, node long").distinct()
 
 
-def _banded(rows: int, count: int, small: int, common: np.ndarray):
-    """Arrow batches (node, hashes of words) to rows (band, node). A class is sketched once for each partition, at most SEEN of them remembered."""
+def common_words(texts: DataFrame, share: float) -> list[str]:
+    """The words in more than `share` of the texts that aren't empty, sorted: at most mean set size / share of them, hence fit for the driver.
+
+    Counts cover all texts and are combined in each partition before they are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for _, _, found in _rows(batch):
+                counts.update(found)
+            if len(counts) > VOCABULARY:
+                yield flush()
+        yield flush()
+
+    counted = texts.select("tbl", "key", "text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    n = texts.where("text <> ''").count()
+    return sorted(r[0] for r in counted.where(F.col("n") > n * share).select("w").collect())
+
+
+def _banded(rows: int, count: int, small: int, common: list[str]):
+    """Batches of texts to rows (band, node). A class is sketched once for each partition."""
+    frequent = frozenset(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        hashes = _Hashes()
         for batch in batches:
-            node, lists = np.asarray(batch.column("node")), batch.column("hashes")
-            _, first = np.unique(node, return_index=True)
-            fresh = np.zeros(len(node), bool)
-            fresh[first] = True
-            fresh &= np.array([x not in seen for x in node.tolist()], bool)
-            if len(seen) < SEEN:
-                seen.update(node[fresh].tolist())
-            offsets = np.asarray(lists.offsets).astype(np.int64)
-            values, sizes = np.asarray(lists.values)[offsets[0] : offsets[-1]], np.diff(offsets)
-            row = np.repeat(np.arange(len(node)), sizes)
-            rare = ~np.isin(values, common)
-            n_rare = np.bincount(row[rare], minlength=len(node))
-            for tag, pick, use in ((0, fresh & (n_rare > 0), rare), (1, fresh & (n_rare < small), None)):
-                at = np.flatnonzero(pick)
-                if not len(at):
+            sets: tuple[list, list] = ([], [])  # (salt, node, words): uncommon words, and whole sets
+            for tbl, _, found in _rows(batch):
+                node = hashes.node(tbl, found)
+                if node in seen:
                     continue
-                keep = pick[row] if use is None else pick[row] & use
-                bounds = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(node))[at])])
-                h = bands(sketches(values[keep].view(np.uint64), bounds, rows * count), rows) ^ np.int64(tag * 0x51ED270B)
-                yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(np.repeat(node[at], count))], names=["band", "node"])
+                if len(seen) < SEEN:
+                    seen.add(node)
+                rare, salt = found - frequent, hashes["\n" + tbl] & 0x7FFFFFFFFFFFFFFF
+                if rare:
+                    sets[0].append((salt, node, rare))
+                if len(rare) < small:
+                    sets[1].append((salt, node, found))
+            for tag, some in enumerate(sets):
+                if some:
+                    values = np.array([h for _, _, found in some for h in map(hashes.__getitem__, found)], np.uint64)
+                    bounds = np.concatenate([[0], np.cumsum([len(found) for _, _, found in some])])
+                    h = bands(sketches(values, bounds, rows * count), rows) ^ np.array([s + tag for s, _, _ in some], np.int64)[:, None]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(np.repeat(np.array([n for _, n, _ in some], np.int64), count))], names=["band", "node"])
+
+    return run
+
+
+def _packed(common: list[str]):
+    """Batches of texts to (tbl, key, node, packed): a bit for each common word, then 4 bytes of hash for each other word, in order."""
+    bit = {w: 1 << i for i, w in enumerate(common)}
+    width = (len(common) + 7) // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            out = []
+            for tbl, key, found in _rows(batch):
+                often = bit.keys() & found
+                rest = np.array(sorted([h & 0xFFFFFFFF for h in map(hashes.__getitem__, found - often)]), "<u4").tobytes()
+                out.append((tbl, key, hashes.node(tbl, found), sum(map(bit.__getitem__, often)).to_bytes(width, "little") + rest))
+            types = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["tbl", "key", "node", "packed"])
+
+    return run
+
+
+def _checked(common: list[str], threshold: float, names: list[str]):
+    """Batches with two packed sets a and b to the rows that reach the threshold: the columns `names` and their similarity.
+
+    Where there are tables tbl_a and tbl_b, they must agree.
+    """
+    width = (len(common) + 7) // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, sims = [], []
+            tables = [batch.column(c).to_pylist() for c in ("tbl_a", "tbl_b") if c in batch.schema.names]
+            for k, (x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                bits_a, bits_b = int.from_bytes(x[:width], "little"), int.from_bytes(y[:width], "little")
+                rest_a, rest_b = set(memoryview(x[width:]).cast("I")), set(memoryview(y[width:]).cast("I"))
+                both = (bits_a & bits_b).bit_count() + len(rest_a & rest_b)
+                either = bits_a.bit_count() + len(rest_a) + bits_b.bit_count() + len(rest_b) - both
+                if both >= threshold * either - 1e-9 and (not tables or tables[0][k] == tables[1][k]):
+                    keep.append(k)
+                    sims.append(both / either)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in names] + [pa.array(sims, pa.float64())], names=[*names, "similarity"])
 
     return run
 
 
-def similar_sets(sets: DataFrame, threshold: float = 0.7, rows: int = ROWS, count: int = BANDS, common: float = COMMON, small: int = SMALL) -> DataFrame:
-    """(tbl, node_a, node_b, similarity), node_a < node_b: different classes of word sets at least `threshold` alike.
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of records, sorted by class, table, set and key, to the pairs of keys whose sets are equal. Only the keys of the set at hand are kept."""
+    now, keys = None, []
+    for batch in batches:
+        tbls, left, right = [], [], []
+        for key, *at in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "tbl", "packed")), strict=True):
+            if at != now:
+                now, keys = at, [key]
+            elif key != keys[-1]:
+                tbls += [at[1]] * len(keys)
+                left += keys
+                right += [key] * len(keys)
+                keys.append(key)
+            if len(left) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(tbls, pa.string()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["tbl_a", "ka", "kb"])
+                tbls, left, right = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(tbls, pa.string()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["tbl_a", "ka", "kb"])
+
 
-    sets: as from word_sets. The sketches take a set's uncommon words, which carry most of what tells texts apart;
-    `rows` coordinates make a band and name a bucket; classes that share one, and whose sizes allow the threshold, are
-    checked exactly on all their words. Copies share a class and never meet. Buckets are joined by sort and merge,
-    which spills; nothing is capped. An empty table gives no rows.
-    Chance of missing a pair whose uncommon words have similarity s: (1 - s**rows)**count.
+def _bucket_pairs(threshold: float):
+    """Batches of (band, node), sorted, to the pairs of nodes of a band whose sizes allow the threshold.
+
+    Only the nodes of the band at hand are kept between batches, 8 bytes each.
     """
-    frequent = common_words(sets, common)
-    hashed = sets.select("node", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("hashes"))
-    banded = hashed.mapInArrow(_banded(rows, count, small, frequent), "band long, node long")
-    banded = banded.repartition("band").dropDuplicates(["band", "node"])
-    size = lambda c: F.col(c).bitwiseAND(F.lit(255))
-    fits = F.when((size("node_a") < 255) & (size("node_b") < 255), F.least(size("node_a"), size("node_b")) >= F.greatest(size("node_a"), size("node_b")) * threshold - 1e-9).otherwise(True)
-    a, b = banded.select("band", F.col("node").alias("node_a")), banded.select("band", F.col("node").alias("node_b"))
-    pairs = a.hint("merge").join(b, "band").where(F.col("node_a") < F.col("node_b")).where(fits).select("node_a", "node_b").distinct()
-    texts = sets.groupBy("node").agg(F.min("tbl").alias("tbl"), F.min("words").alias("words"))
-    left = texts.select(F.col("node").alias("node_a"), "tbl", F.col("words").alias("words_a"))
-    right = texts.select(F.col("node").alias("node_b"), F.col("tbl").alias("tbl_b"), F.col("words").alias("words_b"))
-    both = pairs.join(left, "node_a").join(right, "node_b").where("tbl = tbl_b")
-    x, y = F.split("words_a", " "), F.split("words_b", " ")
-    both = both.select("tbl", "node_a", "node_b", F.size(F.array_intersect(x, y)).alias("n"), (F.size(x) + F.size(y)).alias("m"))
-    return both.select("tbl", "node_a", "node_b", (F.col("n") / (F.col("m") - F.col("n"))).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
-
-
-def expanded_pairs(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """(tbl, id_a, id_b), id_a < id_b: the pairs of keys behind links between classes, and those within a class."""
-    member = sets.select("tbl", "node", "key").distinct()
-    linked = links.select("tbl", "node_a", "node_b").join(member.select("tbl", F.col("node").alias("node_a"), F.col("key").alias("ka")), ["tbl", "node_a"])
-    linked = linked.join(member.select("tbl", F.col("node").alias("node_b"), F.col("key").alias("kb")), ["tbl", "node_b"]).where("ka <> kb")
-    same = member.select("tbl", "node", F.col("key").alias("ka")).hint("merge").join(member.select("tbl", "node", F.col("key").alias("kb")), ["tbl", "node"]).where("ka < kb")
-    pairs = linked.select("tbl", "ka", "kb").unionByName(same.select("tbl", "ka", "kb"))
-    return pairs.select("tbl", F.least("ka", "kb").alias("id_a"), F.greatest("ka", "kb").alias("id_b")).distinct()
-
-
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, class_id): connected components by links (node_a, node_b); class_id is the least node of the component.
+
+    def pairs(band: np.ndarray, node: np.ndarray, begin: int) -> Iterator[pa.RecordBatch]:
+        """Pairs of which the second is at `begin` or behind it."""
+        size = node & 255
+        at, k = np.arange(len(band)), 1
+        while len(at):
+            at = at[at < len(band) - k]
+            at = at[band[at] == band[at + k]]
+            use = at[at + k >= begin]
+            x, y = size[use], size[use + k]
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            fit = use[(node[use] != node[use + k]) & ((high == 255) | (low >= high * threshold - 1e-9))]
+            if len(fit):
+                yield pa.RecordBatch.from_arrays([pa.array(node[fit]), pa.array(node[fit + k])], names=["node_a", "node_b"])
+            k += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            more_band, more_node = np.asarray(batch.column("band")), np.asarray(batch.column("node"))
+            if not len(more_band):
+                continue
+            kept = len(band)
+            band, node = np.concatenate([band, more_band]), np.concatenate([node, more_node])
+            fresh = np.ones(len(band), bool)
+            fresh[1:] = (band[1:] != band[:-1]) | (node[1:] != node[:-1])
+            kept, band, node = int(fresh[:kept].sum()), band[fresh], node[fresh]
+            yield from pairs(band, node, kept)
+            last = np.searchsorted(band, band[-1])
+            band, node = band[last:], node[last:]
+
+    return run
+
+
+def candidates(texts: DataFrame, frequent: list[str], threshold: float = 0.7, rows: int = ROWS, count: int = BANDS, small: int = SMALL) -> DataFrame:
+    """(node_a, node_b), node_a < node_b: different classes of one table that share a bucket and whose sizes allow the threshold.
+
+    The sketches take a set's uncommon words, which carry most of what tells texts apart; `rows` coordinates make a band
+    and name a bucket. Copies share a class and are sketched once for each partition. Buckets are read from sorted
+    partitions, which spill, and nothing is capped. Chance of missing a pair whose uncommon words have similarity s:
+    (1 - s**rows)**count.
+    """
+    banded = texts.select("tbl", "key", "text").mapInArrow(_banded(rows, count, small, frequent), "band long, node long")
+    banded = banded.repartition("band").sortWithinPartitions("band", "node")
+    return banded.mapInArrow(_bucket_pairs(threshold), _never_null("node_a node_b")).distinct()
+
+
+def _never_null(names: str) -> T.StructType:
+    """Fields that are never null, so joins on them add no filter and their exchanges can be shared."""
+    kinds = {"tbl": T.StringType(), "packed": T.BinaryType()}
+    return T.StructType([T.StructField(c, kinds.get(c, T.LongType()), False) for c in names.split()])
+
+
+def records(texts: DataFrame, frequent: list[str]) -> DataFrame:
+    """(tbl, key, node, packed) of texts (tbl, key, text), spread by node: the word set of each record, packed."""
+    return texts.select("tbl", "key", "text").mapInArrow(_packed(frequent), _never_null("tbl key node packed")).repartition("node")
+
+
+def similar_sets(texts: DataFrame, threshold: float = 0.7, common: float = COMMON) -> DataFrame:
+    """(node_a, node_b, similarity), node_a < node_b: different classes of word sets of one table at least `threshold` alike.
+
+    texts: (tbl, key, text). Candidates are checked on all their words, common words bit by bit and others by 32-bit
+    hashes. An empty table gives no rows.
+    """
+    frequent = common_words(texts, common)
+    sets = records(texts, frequent).groupBy("node").agg(F.first("packed").alias("packed"))
+    both = candidates(texts, frequent, threshold).join(sets.select(F.col("node").alias("node_a"), F.col("packed").alias("a")), "node_a")
+    both = both.join(sets.select(F.col("node").alias("node_b"), F.col("packed").alias("b")), "node_b").select("node_a", "node_b", "a", "b")
+    return both.mapInArrow(_checked(frequent, threshold, ["node_a", "node_b"]), "node_a long, node_b long, similarity double")
+
+
+def similar_pairs(texts: DataFrame, threshold: float = 0.7, common: float = COMMON) -> DataFrame:
+    """(tbl, id_a, id_b), id_a < id_b: all pairs of records of one table whose word sets are at least `threshold` alike.
+
+    As similar_sets, with the keys of each class in place of the class, and the pairs within a class added; so the rows
+    grow with the square of the copies of a text, which is what this form asks for. Keys with several texts count once.
+    """
+    frequent = common_words(texts, common)
+    every = records(texts, frequent)
+    side = lambda x: every.select(F.col("tbl").alias(f"tbl_{x}"), F.col("key").alias(f"k{x}"), F.col("node").alias(f"node_{x}"), F.col("packed").alias(x))
+    # every column of both sides is used, so that all three readers share one exchange of the records
+    both = candidates(texts, frequent, threshold).join(side("a"), "node_a").join(side("b"), "node_b").where("ka <> kb").select("tbl_a", "tbl_b", "ka", "kb", "a", "b")
+    linked = both.mapInArrow(_checked(frequent, threshold, ["tbl_a", "ka", "kb"]), "tbl_a string, ka long, kb long, similarity double")
+    same = every.sortWithinPartitions("node", "tbl", "packed", "key").mapInArrow(_copies, "tbl_a string, ka long, kb long")
+    pairs = linked.select("tbl_a", "ka", "kb").unionByName(same.select("tbl_a", "ka", "kb"))
+    return pairs.select(F.col("tbl_a").alias("tbl"), F.least("ka", "kb").alias("id_a"), F.greatest("ka", "kb").alias("id_b")).distinct()
+
+
+def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+    """(node, class_id): connected components of the nodes in links (node_a, node_b); class_id is the least node of each.
 
     Each round every node takes the least label among its own and its neighbours', then the label of its label
-    (pointer jumping), so long chains need few rounds; each round is a checkpoint in the shared folder. Nodes without
-    links are their own class. Neighbours' labels are combined on the map side, so hubs don't gather in one task.
+    (pointer jumping), so long chains need few rounds; each round is a checkpoint in the shared folder. Neighbours'
+    labels are combined on the map side, so hubs don't gather in one task.
     """
     edges = cut(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionByName(links.select(F.col("node_b").alias("a"), F.col("node_a").alias("b"))).distinct())
     labels = cut(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
@@ -126,7 +298,5 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFram
         moved = new.join(labels, "node").where("new <> label").limit(1).count()
         labels = new.select("node", F.col("new").alias("label"))
         if not moved:
-            break
-    else:
-        raise RuntimeError(f"no fixed point after {rounds} rounds")
-    return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("class_id"))
+            return labels.select("node", F.col("label").alias("class_id"))
+    raise RuntimeError(f"no fixed point after {rounds} rounds")

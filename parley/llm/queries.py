@@ -10,24 +10,23 @@ from parley.sources.tables import table
 
 
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "meeting_items", "id", "content").select(F.lit("meeting_items").alias("tbl"), F.col("id").alias("key"), "content")
-    found = table(spark, sf_dir, "intelligence_items", "item_id", "content").select(F.lit("intelligence_items").alias("tbl"), F.col("item_id").alias("key"), "content")
+    items = table(spark, sf_dir, "meeting_items", "id", "content").select(F.lit("meeting_items").alias("tbl"), F.col("id").alias("key"), F.col("content").alias("text"))
+    found = table(spark, sf_dir, "intelligence_items", "item_id", "content").select(F.lit("intelligence_items").alias("tbl"), F.col("item_id").alias("key"), F.col("content").alias("text"))
     return items.unionByName(found)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records of one table whose contents share at least 0.7 of their distinct words."""
-    sets = neardup.word_sets(_contents(spark, sf_dir), "key", "content")
-    return neardup.expanded_pairs(sets, neardup.similar_sets(sets, 0.7))
+    return neardup.similar_pairs(_contents(spark, sf_dir), 0.7)
 
 
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per record with text: its class of near-duplicates, and its number of links to other texts."""
-    sets = neardup.word_sets(_contents(spark, sf_dir), "key", "content")
-    links = neardup.cut(neardup.similar_sets(sets, 0.7))
+    texts = _contents(spark, sf_dir)
+    links = neardup.cut(neardup.similar_sets(texts, 0.7))
     ends = links.select(F.col("node_a").alias("node")).unionByName(links.select(F.col("node_b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = neardup.components(sets, links)
-    return sets.select("tbl", "key", "node").distinct().join(classes, "node").join(ends, "node", "left").select("tbl", F.col("key").alias("row_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = neardup.members(texts).join(neardup.components(links), "node", "left").join(ends, "node", "left")
+    return known.select("tbl", F.col("key").alias("row_id"), F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 #: Table, key and text of the fields that mention private details.
