@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from parley.llm.crf import Crf
 from parley.llm.pii import _FAMILY, _MID, _PLACE, _SYL, _WORDS, GIVEN
 from parley.operators.skew import salted_join
+from parley.sources.tables import cut
 
 LABELS = ["SPEECH", "B-LABEL", "I-LABEL", "TIME", "NOISE", "FILLER", "CUT"]
 START = "\n"
@@ -375,7 +376,7 @@ def turns(df: DataFrame, roster: DataFrame, chunk: int = CHUNK) -> DataFrame:
     whose summaries carry the last speaker and the number of turns to the next chunk, so no task holds a long meeting.
     Labels of nobody count as no label. Empty tables give no rows.
     """
-    segs = segments(df)
+    segs = cut(segments(df))  # tagged once, read by several joins
     known = speakers(segs, roster)
     rows = salted_join(segs.where("words <> ''").drop("shown"), known, ["meeting_id", "who"], "left")
     rows = rows.withColumn("chunk", F.floor(F.col("turn_idx") / chunk))
