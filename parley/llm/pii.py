@@ -21,6 +21,9 @@ KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "STREET_ADDRESS", "PERSON_NAME")
 #: LABEL marks a speaker label at the start of a line, which is no personal information here.
 LABELS = ["O", *(f"{p}-{k}" for k in (*KINDS, "LABEL") for p in "BI")]
 START = "\n"
+# Titles before names, and sounds of hesitation.
+_HONORIFICS = {"dr", "prof", "mr", "mrs", "ms", "miss", "sir", "herr", "frau", "mme", "sr", "sra"}
+_HESITATIONS = {"um", "uh", "er", "erm", "ah", "hmm", "mm", "uhm", "uhh", "ummm", "eh", "hm"}
 _TOKEN = re.compile(r"\n|[^\W_]+|[^\w\s]|_")
 #: A sentence may end here, unless an initial or one of these stands before.
 _END = re.compile(r"[.?!] +(?=[A-Z(\[*<{])|(?=\n)")
@@ -62,6 +65,10 @@ def features(token: str) -> list[str]:
             out.append("given" + ("C" if token[0].isupper() else ""))
         if low in _STREETS:
             out.append("street")
+        if low in _HONORIFICS and token[0].isupper():
+            out.append("title")
+        if low in _HESITATIONS:
+            out.append("hes")
         if re.search(r"(?:stra(?:ss|ß)e|str|weg|gasse|platz|allee)$", low) and token[0].isupper():
             out.append("strasse")
     return out
@@ -205,7 +212,7 @@ _WORDS = {
     "team": "legal|operations|facilities|procurement|the lab|the night crew|the field team|the data office|the finance desk|the audit panel|the harbour depot|the training unit".split("|"),
     "when": "in late autumn|in the second half|at the end of the shift|by end of day|by close of business|within forty minutes|during the night shift|before the next sprint|before the steering call|after the bank holiday|by Friday|next Tuesday|this quarter|before noon|on Wednesday morning|every other Monday|after the freeze|over the weekend|by the twentieth|early next month|right after lunch|until further notice|within two weeks|before the pilot".split("|"),
     "thing": "a short memo|the seating plan|two test accounts|the sign-off sheet|a spare key|the old minutes|a clean export|the packing slip|a risk note|three sample files|a list of gaps".split("|"),
-    "filler": "um|ummm...|ah,|, mm,|, sort of,|*sighs*|<noise>|[pause 2s]|(laughs)|um|uh|er|, you know,|, I mean,|, kind of,|hmm|[crosstalk]|(coughs)|ummm...|the".split("|"),
+    "filler": "um|uh,|er|erm|uhm|uhh|, hmm,|ummm...|ah,|, mm,|, sort of,|*sighs*|<noise>|[pause 2s]|(laughs)|um|uh|er|, you know,|, I mean,|, kind of,|hmm|[crosstalk]|(coughs)|ummm...|the".split("|"),
 }
 _SYL = "hal vik nub gar mov ral ken sor tar wen pel bra jor lum zel cor dren fos kut nor or pir quen rud sib tel ul val yar hob gim fen ner mar bol cal".split()
 _MID = "el or um and esk ard il ov eth ing ent omb ist ur am az".split()
@@ -273,7 +280,7 @@ def _label(r: random.Random) -> str:
     return (time, form) if r.random() < 0.8 else ("", f"{form} {time}")
 
 
-def labelled(n: int = 22, seed: int = 5) -> list[list[tuple[str, str]]]:
+def labelled(n: int = 32, seed: int = 5) -> list[list[tuple[str, str]]]:
     """The labelled table: n fillings of each marked sentence, as (token, label) lists."""
     r, out = random.Random(seed), []
     make = {"EMAIL": _email, "PHONE": lambda r: _filled(r, r.choice(_PHONES)), "ID": lambda r: _filled(r, r.choice(_IDS)), "ADDR": _address, "NAME": _name}
@@ -282,14 +289,14 @@ def labelled(n: int = 22, seed: int = 5) -> list[list[tuple[str, str]]]:
     for line in _MARKED:
         for _ in range(n):
             row = [(START, "O")] if r.random() < 0.5 or line.startswith("{LABEL}") else []
-            noisy = r.random() < 0.45
+            noisy = r.random() < 0.55
             add = lambda text, k=None: row.extend((t, "O" if k is None else ("B-" if i == 0 else "I-") + k) for i, t in enumerate(_TOKEN.findall(text)))  # noqa: E731, B023
             for piece in re.split(r"(\{\w+\})", line):
                 slot = piece[1:-1] if piece.startswith("{") else None
                 if slot is None:
                     words = piece.split(" ")
                     for i, w in enumerate(words):
-                        if noisy and i and r.random() < 0.18:
+                        if noisy and i and r.random() < (0.18 if w else 0.45):
                             add(r.choice([*_WORDS["filler"], words[i - 1], words[i - 1] + ", " + words[i - 1], words[i - 1][:2] + "-"]))
                         add(w)
                 elif slot in make:
@@ -327,7 +334,7 @@ def labelled(n: int = 22, seed: int = 5) -> list[list[tuple[str, str]]]:
 @lru_cache(1)
 def model() -> Crf:
     """The trained field; the same at every call, as its table and its start are fixed."""
-    return Crf(LABELS, features).fit(labelled(), steps=100)
+    return Crf(LABELS, features).fit(labelled(), steps=110)
 
 
 _SHAPE = {
@@ -396,12 +403,13 @@ def _checked(text: str, kind: str, i: int, j: int) -> tuple[str, int, int] | Non
     A piece that overlaps a longer run of the characters that numbers and addresses of its kind are made of, takes it all.
     """
     for m in _RUN[kind].finditer(text, max(0, i - 40), min(len(text), j + 40)):
-        if m.start() < j and m.end() > i:
+        if m.start() < j + 2 * (kind in ("PHONE", "ID_NUMBER")) and m.end() > i:
             i, j = m.start(), m.end()
             break
     if kind == "PERSON_NAME":
         while i < j and not text[i].isupper():
             i += 1
+        j = i + len(re.sub(r"(?:\s+[a-z]\S*)+$", "", text[i:j]))
     tail = {"PERSON_NAME": r"(?:[\s,;:-]+|(?<=\w\w\w)\.)$", "STREET_ADDRESS": r"(?:[\s,;:-]+|(?<!Rd)(?<!str)(?<!St)\.)$", "EMAIL": r"[\s.,;:]+$"}.get(kind, r"[\s.,;:)-]+$")
     j = i + len(re.sub(tail, "", text[i:j]))
     if kind == "STREET_ADDRESS" and text[j : j + 1] == "." and text[j - 2 : j] == "Rd":
