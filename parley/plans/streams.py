@@ -87,7 +87,8 @@ def dsp_spotting(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.col(c).cast("array<double>"), i * 8 + 1, F.lit(8)))
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     templates = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("t")).select(F.col("label").alias("keyword"), frames("t").alias("template"))
-    met = e.select("vec_id", frames("embedding").alias("f")).join(F.broadcast(templates), F.lit(True))  # as many templates as there are labels
+    every = templates.agg(F.collect_list(F.struct("keyword", "template"))).scalar()  # one for each label
+    met = e.select("vec_id", frames("embedding").alias("f"), F.explode(every).alias("t")).select("vec_id", "f", "t.*")
     d = met.select("vec_id", "keyword", signal.dtw_of("f", "template").alias("d"))
     best = d.groupBy("vec_id").agg(F.min_by("keyword", F.struct("d", "keyword")).alias("keyword"), F.min("d").alias("d"))
     return best.where("d <= 1.15").select("vec_id", "keyword", F.round("d", 6).alias("distance"), F.round(1 - F.col("d") / 1.15, 6).alias("confidence"))
