@@ -203,8 +203,9 @@ def jn_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = e.select("label", F.posexplode("embedding").alias("i", "x"))
     centre = flat.groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c")).withColumnRenamed("label", "near")
     centres = centre.agg(F.collect_list(F.struct("near", "c"))).scalar()  # one for each label
-    d = lambda c: F.aggregate(F.zip_with("embedding", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    best = e.select("label", F.array_min(F.transform(centres, lambda x: F.struct(d(x["c"]).alias("d"), x["near"].alias("near"))))["near"].alias("near"))
+    met = e.select("vec_id", "label", "embedding", F.explode(centres).alias("x")).select("vec_id", "label", "embedding", "x.*")
+    d = F.aggregate(F.zip_with("embedding", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    best = met.groupBy("vec_id", "label").agg(F.min_by("near", F.struct(d.alias("d"), "near")).alias("near"))
     return best.groupBy("label", "near").agg(F.count("*").alias("n"))
 
 
