@@ -240,8 +240,11 @@ def resolved(typed: DataFrame, roster: DataFrame, count: int = PIVOTS, task: int
                 v = _to_pivots(b.column("name").to_pylist(), pivots)
                 yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(v.argmin(axis=1).astype(np.int32)), pa.array([x.tobytes() for x in v], pa.binary())], names=["name", "cell", "v"])
 
-    queries = names.select("name").distinct().mapInArrow(placed, "name string, cell int, v binary")
-    tasks = max(1, names.select("name").distinct().count() // (task * len(pivots)))
+    alone = names.select("name").distinct()
+    tasks = max(1, alone.count() // (task * len(pivots)))
+    # few bytes but much work: a fixed number of partitions isn't coalesced
+    spread = max(spark.sparkContext.defaultParallelism, min(10_000, tasks * len(pivots)))
+    queries = alone.repartition(spread, "name").mapInArrow(placed, "name string, cell int, v binary")
     queries = queries.withColumn("part", F.pmod(F.hash("name"), F.lit(tasks)))
     texts = [f for f, _, _ in forms]
     v = _to_pivots(texts, pivots) if texts else np.zeros((0, len(pivots)), np.int8)
@@ -249,6 +252,7 @@ def resolved(typed: DataFrame, roster: DataFrame, count: int = PIVOTS, task: int
     for (form, entity, most), x in zip(forms, v, strict=True):
         rows += [(form, entity, most, x.tobytes(), int(c)) for c in np.flatnonzero(x <= x.min() + 2 * most)]
     right = spark.createDataFrame(rows, "form string, entity_id long, most int, v binary, cell int").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    queries, right = queries.repartition(spread, "cell", "part"), right.repartition(spread, "cell", "part")
     hits = queries.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(within, "name string, entity_id long, d int")
     near = hits.groupBy("name", "entity_id").agg(F.min("d").alias("d")).groupBy("name").agg(F.min_by("entity_id", "d").alias("entity_id"), F.min("d").alias("d"), F.collect_list("d").alias("ds"))
     one = near.where(F.size(F.filter("ds", lambda x: x == F.col("d"))) == 1).select("name", "entity_id")
