@@ -16,16 +16,15 @@ from pyspark.sql import types as T
 from parley.llm.sketch import bands, sketches
 from parley.sources.tables import cut
 
-#: Words in more than this share of the texts don't enter the sketches (they do enter the check). As the shares of all
-#: words add up to the mean set size, at most size / COMMON words can be common.
+#: Words in more than this share of the texts are packed as bits for the check, the others as hashes; either way they count.
+#: As the shares of all words add up to the mean set size, at most size / COMMON words can be common.
 COMMON = 0.1
 ROWS, BANDS = 5, 32
-#: Sets with fewer uncommon words than this are also sketched whole.
-SMALL = 10
 #: Classes that a partition remembers so as not to sketch them twice; beyond it copies are sketched again, to the same buckets.
 SEEN = 500_000
 #: Distinct words that a partition counts or keeps hashes of before it starts anew.
 VOCABULARY = 200_000
+BANDED = "band node parity_0 parity_1"
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -95,32 +94,42 @@ def common_words(texts: DataFrame, share: float) -> list[str]:
     return sorted(r[0] for r in counted.where(F.col("n") > n * share).select("w").collect())
 
 
-def _banded(rows: int, count: int, small: int, common: list[str]):
-    """Batches of texts to rows (band, node). A class is sketched once for each partition."""
-    frequent = frozenset(common)
+def _parities(values: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Two longs for each set of hashes, of 128 parities: the number of its elements in each of as many classes, odd or even.
+
+    Sets whose parities differ in d places differ in at least d elements. Sets must not be empty.
+    """
+    place = values >> np.uint64(8) & np.uint64(127)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    return [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == half, bit, np.uint64(0)), starts).view(np.int64) for half in (0, 1)]
+
+
+def _apart(parities: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of parities in which the sets at x differ from those at y."""
+    return sum(np.bitwise_count((p[x] ^ p[y]).view(np.uint64)) for p in parities)  # of signed numbers the absolute value is counted
+
+
+def _banded(rows: int, count: int):
+    """Batches of texts to rows (band, node, parity_0, parity_1). A class is sketched once for each partition, from all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         hashes = _Hashes()
         for batch in batches:
-            sets: tuple[list, list] = ([], [])  # (salt, node, words): uncommon words, and whole sets
+            sets = []  # (salt, node, words)
             for tbl, _, found in _rows(batch):
                 node = hashes.node(tbl, found)
                 if node in seen:
                     continue
                 if len(seen) < SEEN:
                     seen.add(node)
-                rare, salt = found - frequent, hashes["\n" + tbl] & 0x7FFFFFFFFFFFFFFF
-                if rare:
-                    sets[0].append((salt, node, rare))
-                if len(rare) < small:
-                    sets[1].append((salt, node, found))
-            for tag, some in enumerate(sets):
-                if some:
-                    values = np.array([h for _, _, found in some for h in map(hashes.__getitem__, found)], np.uint64)
-                    bounds = np.concatenate([[0], np.cumsum([len(found) for _, _, found in some])])
-                    h = bands(sketches(values, bounds, rows * count), rows) ^ np.array([s + tag for s, _, _ in some], np.int64)[:, None]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(np.repeat(np.array([n for _, n, _ in some], np.int64), count))], names=["band", "node"])
+                sets.append((hashes["\n" + tbl] & 0x7FFFFFFFFFFFFFFF, node, found))
+            if sets:
+                values = np.array([h for _, _, found in sets for h in map(hashes.__getitem__, found)], np.uint64)
+                bounds = np.concatenate([[0], np.cumsum([len(found) for _, _, found in sets])])
+                h = bands(sketches(values, bounds, rows * count), rows) ^ np.array([s for s, _, _ in sets], np.int64)[:, None]
+                each = [np.array([n for _, n, _ in sets], np.int64), *_parities(values, bounds[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), *(pa.array(np.repeat(x, count)) for x in each)], names=BANDED.split())
 
     return run
 
@@ -189,12 +198,14 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucket_pairs(threshold: float):
-    """Batches of (band, node), sorted, to the pairs of nodes of a band whose sizes allow the threshold.
+    """Batches of BANDED, sorted, to the pairs of nodes of a band whose sizes and parities allow the threshold.
 
-    Only the nodes of the band at hand are kept between batches, 8 bytes each.
+    Sets of n words in all that reach it differ in at most n (1 - threshold) / (1 + threshold) of them, so in no more
+    parities. Only the nodes of the band at hand are kept between batches, 24 bytes each.
     """
+    most = (1 - threshold) / (1 + threshold)
 
-    def pairs(band: np.ndarray, node: np.ndarray, begin: int) -> Iterator[pa.RecordBatch]:
+    def pairs(band: np.ndarray, node: np.ndarray, parities: list[np.ndarray], begin: int) -> Iterator[pa.RecordBatch]:
         """Pairs of which the second is at `begin` or behind it."""
         size = node & 255
         at, k = np.arange(len(band)), 1
@@ -204,38 +215,40 @@ def _bucket_pairs(threshold: float):
             use = at[at + k >= begin]
             x, y = size[use], size[use + k]
             low, high = np.minimum(x, y), np.maximum(x, y)
-            fit = use[(node[use] != node[use + k]) & ((high == 255) | (low >= high * threshold - 1e-9))]
+            apart = _apart(parities, use, use + k)
+            fit = use[(node[use] != node[use + k]) & ((high == 255) | (low >= high * threshold - 1e-9) & (apart <= (low + high) * most + 1e-6))]
             if len(fit):
                 yield pa.RecordBatch.from_arrays([pa.array(node[fit]), pa.array(node[fit + k])], names=["node_a", "node_b"])
             k += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rest = [np.zeros(0, np.int64) for _ in BANDED.split()]
         for batch in batches:
-            more_band, more_node = np.asarray(batch.column("band")), np.asarray(batch.column("node"))
-            if not len(more_band):
+            if not batch.num_rows:
                 continue
-            kept = len(band)
-            band, node = np.concatenate([band, more_band]), np.concatenate([node, more_node])
+            kept = len(rest[0])
+            rest = [np.concatenate([x, np.asarray(batch.column(c))]) for x, c in zip(rest, BANDED.split(), strict=True)]
+            band, node = rest[:2]
             fresh = np.ones(len(band), bool)
             fresh[1:] = (band[1:] != band[:-1]) | (node[1:] != node[:-1])
-            kept, band, node = int(fresh[:kept].sum()), band[fresh], node[fresh]
-            yield from pairs(band, node, kept)
-            last = np.searchsorted(band, band[-1])
-            band, node = band[last:], node[last:]
+            kept, rest = int(fresh[:kept].sum()), [x[fresh] for x in rest]
+            yield from pairs(rest[0], rest[1], rest[2:], kept)
+            last = np.searchsorted(rest[0], rest[0][-1])
+            rest = [x[last:] for x in rest]
 
     return run
 
 
-def candidates(texts: DataFrame, frequent: list[str], threshold: float = 0.7, rows: int = ROWS, count: int = BANDS, small: int = SMALL) -> DataFrame:
-    """(node_a, node_b), node_a < node_b: different classes of one table that share a bucket and whose sizes allow the threshold.
+def candidates(texts: DataFrame, threshold: float = 0.7, rows: int = ROWS, count: int = BANDS) -> DataFrame:
+    """(node_a, node_b), node_a < node_b: different classes of one table that share a bucket and whose sizes and parities allow the threshold.
 
-    The sketches take a set's uncommon words, which carry most of what tells texts apart; `rows` coordinates make a band
-    and name a bucket. Copies share a class and are sketched once for each partition. Buckets are read from sorted
-    partitions, which spill, and nothing is capped. Chance of missing a pair whose uncommon words have similarity s:
-    (1 - s**rows)**count.
+    The sketches take all words of a set, so the chance of missing a pair of similarity s is (1 - s**rows)**count
+    whatever the frequencies of its words; `rows` coordinates make a band and name a bucket. Texts that share only
+    common words meet in buckets too; their parities, which never part a pair that reaches the threshold, tell most of
+    these from near copies, up to about 200 words. Copies share a class and are sketched once for each partition.
+    Buckets are read from sorted partitions, which spill, and nothing is capped.
     """
-    banded = texts.select("tbl", "key", "text").mapInArrow(_banded(rows, count, small, frequent), "band long, node long")
+    banded = texts.select("tbl", "key", "text").mapInArrow(_banded(rows, count), ", ".join(f"{c} long" for c in BANDED.split()))
     banded = banded.repartition("band").sortWithinPartitions("band", "node")
     return banded.mapInArrow(_bucket_pairs(threshold), _never_null("node_a node_b")).distinct()
 
@@ -259,7 +272,7 @@ def similar_sets(texts: DataFrame, threshold: float = 0.7, common: float = COMMO
     """
     frequent = common_words(texts, common)
     sets = records(texts, frequent).groupBy("node").agg(F.first("packed").alias("packed"))
-    both = candidates(texts, frequent, threshold).join(sets.select(F.col("node").alias("node_a"), F.col("packed").alias("a")), "node_a")
+    both = candidates(texts, threshold).join(sets.select(F.col("node").alias("node_a"), F.col("packed").alias("a")), "node_a")
     both = both.join(sets.select(F.col("node").alias("node_b"), F.col("packed").alias("b")), "node_b").select("node_a", "node_b", "a", "b")
     return both.mapInArrow(_checked(frequent, threshold, ["node_a", "node_b"]), "node_a long, node_b long, similarity double")
 
@@ -274,7 +287,7 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.7, common: float = COMM
     every = records(texts, frequent)
     side = lambda x: every.select(F.col("tbl").alias(f"tbl_{x}"), F.col("key").alias(f"k{x}"), F.col("node").alias(f"node_{x}"), F.col("packed").alias(x))
     # every column of both sides is used, so that all three readers share one exchange of the records
-    both = candidates(texts, frequent, threshold).join(side("a"), "node_a").join(side("b"), "node_b").where("ka <> kb").select("tbl_a", "tbl_b", "ka", "kb", "a", "b")
+    both = candidates(texts, threshold).join(side("a"), "node_a").join(side("b"), "node_b").where("ka <> kb").select("tbl_a", "tbl_b", "ka", "kb", "a", "b")
     linked = both.mapInArrow(_checked(frequent, threshold, ["tbl_a", "ka", "kb"]), "tbl_a string, ka long, kb long, similarity double")
     same = every.sortWithinPartitions("node", "tbl", "packed", "key").mapInArrow(_copies, "tbl_a string, ka long, kb long")
     pairs = linked.select("tbl_a", "ka", "kb").unionByName(same.select("tbl_a", "ka", "kb"))

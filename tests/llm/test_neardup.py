@@ -86,3 +86,27 @@ def test_components_of_a_long_chain(spark):
 def test_nothing_from_nothing(spark):
     empty = spark.createDataFrame([], "tbl string, key long, text string")
     assert neardup.similar_pairs(empty).count() == 0 and neardup.similar_sets(empty).count() == 0 and neardup.members(empty).count() == 0
+
+
+@pytest.mark.parametrize("own", [(10, 10), (9, 10)])
+def test_pairs_of_a_template_in_a_third_of_the_rows(spark, own):
+    r = random.Random(9)
+    form, rows = [f"form{i}" for i in range(50 if own == (10, 10) else 45)], []
+    for k in range(120):
+        words = form + [f"own{k}x{i}" for i in range(own[k // 3 % 2])] if k % 3 == 0 else [f"w{r.randrange(5000)}" for _ in range(60)]
+        r.shuffle(words)
+        rows.append(("x", k, " ".join(words)))
+    want = _brute(rows, 0.7)
+    df = spark.createDataFrame(rows, "tbl string, key long, text string")
+    got = {tuple(x) for x in neardup.similar_pairs(df, 0.7).collect()}
+    assert len(want) >= 580 and got <= want and len(want - got) <= 0.02 * len(want)
+    assert neardup.similar_sets(df, 0.7).count() == len(got)
+
+
+def test_parities_never_part_sets_by_more_than_they_differ():
+    r = np.random.default_rng(3)
+    sets = [set(r.choice(mix(np.arange(300, dtype=np.uint64)), size).tolist()) for size in r.integers(1, 200, 60)]
+    values, bounds = _sets(sets)
+    halves = neardup._parities(values, bounds[:-1])
+    for i, j in combinations(range(60), 2):
+        assert neardup._apart(halves, np.array([i]), np.array([j]))[0] <= len(sets[i] ^ sets[j])
