@@ -7,11 +7,13 @@ decoding is Viterbi over batches of sentences. Distinct tokens are looked up onc
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
 WINDOW = 3
+#: Decoding works on at most so many sentences at once, and so many places when all are padded to the longest; a longer sentence goes alone.
+SENTENCES, PLACES = 4000, 400_000
 
 
 class Crf:
@@ -130,8 +132,7 @@ class Crf:
         gain = E[:, 1:].max(axis=1) - E[:, 0]
         work = np.flatnonzero(np.maximum.reduceat(gain, starts) + self.slack > 0)
         work = work[np.argsort(sizes[work], kind="stable")]
-        for k in range(0, len(work), 4000):
-            some = work[k : k + 4000]
+        for some in _groups(work, sizes[work]):
             T = int(sizes[some].max())
             at = starts[some][:, None] + np.arange(T)
             inside = np.arange(T) < sizes[some][:, None]
@@ -151,6 +152,16 @@ class Crf:
         return out
 
 
+def _groups(work: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of work, whose sizes ascend, within SENTENCES and PLACES."""
+    k = 0
+    while k < len(work):
+        padded = sizes[k : k + SENTENCES] * np.arange(1, len(sizes[k : k + SENTENCES]) + 1)
+        n = max(1, int(np.searchsorted(padded, PLACES, side="right")))
+        yield work[k : k + n]
+        k += n
+
+
 def _expect(E: np.ndarray, A: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginal probabilities of labels, and expected counts of neighbouring labels."""
     n, T, K = E.shape

@@ -4,6 +4,7 @@ import base64
 import email
 import quopri
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -29,6 +30,17 @@ def test_viterbi_finds_the_best_path():
     assert crf.decode([], np.array([], int)).tolist() == []
 
 
+def test_a_long_sentence_does_not_pad_the_short_ones():
+    crf = Crf(["O", "A", "B"], lambda t: ["w=" + t]).fit([[("x", "O"), ("a", "A"), ("b", "B")], [("x", "O"), ("x", "O")]] * 4, steps=40, least=1)
+    long, toks = ["x", "a", "b"] * 1000, ["a", "b"] * 3999
+    apart = crf.decode(toks, np.full(3999, 2)).tolist() + crf.decode(long, np.array([3000])).tolist()
+    tracemalloc.start()
+    together = crf.decode(toks + long, np.array([2] * 3999 + [3000])).tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert together == apart and peak < 1e8
+
+
 @pytest.fixture(scope="module")
 def field():
     return pii.model()
