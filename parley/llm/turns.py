@@ -374,23 +374,24 @@ def turns(df: DataFrame, roster: DataFrame, chunk: int = CHUNK) -> DataFrame:
     Segments without words make no turn and part none; segments without a speaker go on with the turn; those before a
     meeting's first known speaker, which no turn precedes, are left out. Meetings are worked on in chunks of turn_idx,
     whose summaries carry the last speaker and the number of turns to the next chunk, so no task holds a long meeting.
-    Labels of nobody count as no label. Empty tables give no rows.
+    Labels of nobody count as no label. Empty tables give no rows. Statements without turn_idx come last in their
+    meeting, by stmt_id, in chunks of it; those without meeting_id belong to no meeting and are left out.
     """
-    segs = cut(segments(df))  # tagged once, read by several joins
+    segs = cut(segments(df.where("meeting_id is not null")))  # tagged once, read by several joins
     known = speakers(segs, roster)
     rows = salted_join(segs.where("words <> ''").drop("shown"), known, ["meeting_id", "who"], "left")
-    rows = rows.withColumn("chunk", F.floor(F.col("turn_idx") / chunk))
-    order = Window.partitionBy("meeting_id", "chunk").orderBy("turn_idx", "stmt_id", "seg")
+    rows = rows.withColumn("late", F.col("turn_idx").isNull()).withColumn("chunk", F.floor(F.coalesce("turn_idx", "stmt_id", F.lit(0)) / chunk))
+    order = Window.partitionBy("meeting_id", "late", "chunk").orderBy("turn_idx", "stmt_id", "seg")
     rows = rows.withColumn("now", F.last("speaker", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("step", ((F.lag("now").over(order) != F.col("now"))).cast("int"))
     rows = rows.withColumn("inner_no", F.sum(F.coalesce("step", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.struct("turn_idx", "stmt_id", "seg")
-    heads = rows.groupBy("meeting_id", "chunk").agg(F.min_by("now", F.when(F.col("now").isNotNull(), place)).alias("first_now"), F.max_by("now", place).alias("last_now"), F.max("inner_no").alias("steps"))
-    across = Window.partitionBy("meeting_id").orderBy("chunk")
+    heads = rows.groupBy("meeting_id", "late", "chunk").agg(F.min_by("now", F.when(F.col("now").isNotNull(), place)).alias("first_now"), F.max_by("now", place).alias("last_now"), F.max("inner_no").alias("steps"))
+    across = Window.partitionBy("meeting_id").orderBy("late", "chunk")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn("carry", F.last("last_now", True).over(before))
     heads = heads.withColumn("opens", F.when(F.col("first_now").isNull(), 0).otherwise((F.col("carry").isNull() | (F.col("carry") != F.col("first_now"))).cast("int")))
-    heads = heads.withColumn("done", F.coalesce(F.sum(F.col("steps") + F.col("opens")).over(before), F.lit(0))).select("meeting_id", "chunk", "carry", "opens", "done")
-    full = rows.join(heads, ["meeting_id", "chunk"])
+    heads = heads.withColumn("done", F.coalesce(F.sum(F.col("steps") + F.col("opens")).over(before), F.lit(0))).select("meeting_id", "late", "chunk", "carry", "opens", "done")
+    full = rows.join(heads, ["meeting_id", "late", "chunk"])
     full = full.withColumn("turn_no", (F.col("done") + F.when(F.col("now").isNull(), 0).otherwise(F.col("inner_no") + F.col("opens"))).cast("int")).withColumn("speaker", F.coalesce("now", "carry")).where("speaker is not null")
-    return full.groupBy("meeting_id", "turn_no", "speaker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_idx", "stmt_id", "seg", "words"))), lambda x: x["words"]), " ").alias("turn_words"))
+    return full.groupBy("meeting_id", "turn_no", "speaker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("late", "turn_idx", "stmt_id", "seg", "words"))), lambda x: x["words"]), " ").alias("turn_words"))

@@ -117,6 +117,12 @@ def test_turns_of_nothing(spark):
     assert _turns(spark, []) == []
     assert turns.normal("**Yusuf G.:**") == "yusuf g" and turns.normal(None) == "" and turns.normal("Olga (host)") == "olga"
 
+@pytest.mark.parametrize("chunk", [4096, 1])
+def test_turns_without_an_index_come_last(spark, chunk):
+    rows = [(1, None, 9, None, "Then the scanner failed."), *ROWS, (1, None, 8, "Yusuf Garenlo", "Ready."), (None, 1, 30, "Yusuf Garenlo", "Lost words.")]
+    assert _turns(spark, rows, chunk=chunk)[3:] == [(4, "Yusuf Garenlo", "legal found 4 percent of rows wrong ready then the scanner failed")]
+
+
 
 BODY = "Größe: the relay = fine & <b>bold</b>\nnext line"
 
