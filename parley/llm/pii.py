@@ -337,12 +337,22 @@ def model() -> Crf:
     return Crf(LABELS, features).fit(labelled(), steps=110)
 
 
+#: Small words within or before a surname, in lower case.
+_PARTICLE = r"(?:de|del|della|der|den|di|da|das|do|dos|du|la|le|van|von|zu|zur|ter|ten|bin|ibn|al|el)"
+_BEFORE = re.compile(rf"(?:(?<![\w'-])(?!do\b|den\b){_PARTICLE}\s+|(?<![\w'-])[dl]['’])+$")
+_CAPITAL = r"(?:[dl]['’])?[A-ZÀ-ÞŁŠŽ][^\W\d_]*(?:['’-](?!s\b)[^\W\d_]+)*"
+_GLUED = re.compile(r"(?<![\w'’-])(?:(?:[A-ZÀ-ÞŁŠŽ][^\W\d_]*|[dl])['’-])+$")
+_STEM = re.compile(r"(?<![\w'’-])[A-ZÀ-ÞŁŠŽ][^\W\d_]*$")
+_OPENS = re.compile(rf"(?:{_PARTICLE}\s|[dl]['’])")
+_FIRST = re.compile(rf"{_CAPITAL}\s+$")
+_REST = re.compile(rf"\s+(?:{_PARTICLE}\s+)*{_CAPITAL}")
+
 _SHAPE = {
     "EMAIL": re.compile(r"(?i)\S.*(?:@|\(at\)|\[at\]|\bat\b).*\S"),
     "PHONE": re.compile(r"[+(\d](?:\D{0,3}\d){6,14}$"),
     "ID_NUMBER": re.compile(r"(?=(?:\D*\d){6})[A-Za-z0-9][A-Za-z0-9 /-]{5,}$"),
     "STREET_ADDRESS": re.compile(r"(?=.*\d)(?=.*[^\W\d_]{3})"),
-    "PERSON_NAME": re.compile(r"(?!.*\d)(?=.*[^\W\d_]{2})[^\W\d_]+[.,]*(?:\s+[A-ZÀ-ÞŁŠŽ][\w'.-]*,?)+$"),
+    "PERSON_NAME": re.compile(rf"(?!.*\d)(?=.*[^\W\d_]{{2}})(?:{_PARTICLE}\s+)*[^\W\d_]+(?:['’-][^\W\d_]+)*[.,]*(?:(?:\s+{_PARTICLE})*\s+(?:[A-ZÀ-ÞŁŠŽ]|[dl]['’][A-ZÀ-ÞŁŠŽ])[\w'’.-]*,?)+$"),
 }
 
 
@@ -407,9 +417,10 @@ def _checked(text: str, kind: str, i: int, j: int) -> tuple[str, int, int] | Non
             i, j = m.start(), m.end()
             break
     if kind == "PERSON_NAME":
-        while i < j and not text[i].isupper():
-            i += 1
-        j = i + len(re.sub(r"(?:\s+[a-z]\S*)+$", "", text[i:j]))
+        i, j = _whole_name(text, i, j)
+        first = next((k for k in range(i, j) if text[k].isupper()), j)
+        i = first - len(m.group()) if (m := _BEFORE.search(text[i:first])) else first
+        j = i + len(re.sub(r"(?:\s+[a-z](?!['’][A-Z])\S*)+$", "", text[i:j]))
     tail = {"PERSON_NAME": r"(?:[\s,;:-]+|(?<=\w\w\w)\.)$", "STREET_ADDRESS": r"(?:[\s,;:-]+|(?<!Rd)(?<!str)(?<!St)\.)$", "EMAIL": r"[\s.,;:]+$"}.get(kind, r"[\s.,;:)-]+$")
     j = i + len(re.sub(tail, "", text[i:j]))
     if kind == "STREET_ADDRESS" and text[j : j + 1] == "." and text[j - 2 : j] == "Rd":
@@ -421,6 +432,21 @@ def _checked(text: str, kind: str, i: int, j: int) -> tuple[str, int, int] | Non
     return (kind, i, j) if _SHAPE[kind].match(text[i:j]) else None
 
 
+def _whole_name(text: str, i: int, j: int) -> tuple[int, int]:
+    """The piece with the rest of a compound name that it cuts: a hyphen or an apostrophe within a word, or small particles."""
+    before = text[max(0, i - 60) : i]
+    if m := (_STEM if text[i] in "-'’" else _GLUED).search(before):
+        i -= len(m.group())
+    elif _OPENS.match(text, i, j) and "," not in text[i:j] and (m := _FIRST.search(before)):
+        i -= len(m.group())
+    if m := _BEFORE.search(text[max(0, i - 60) : i]):
+        i -= len(m.group())
+    piece = text[i:j]
+    if re.search(rf"\s{_PARTICLE}$", piece) or re.fullmatch(r"[^\W\d_]+(?:['’-][^\W\d_]+)+", piece):
+        j = m.end() if (m := _REST.match(text, j)) else j
+    return i, j
+
+
 def find_pii(df: DataFrame) -> DataFrame:
     """(tbl, row_id, pii_kind, piece) of the texts of df (tbl, row_id, text); null and empty texts have none."""
     field = model()

@@ -67,6 +67,10 @@ def test_pii_on_held_out_sentences(field):
         ("Send a spare key to olga.harron@kelumska.test before noon.", [("EMAIL", "olga.harron@kelumska.test")]),
         ("The spare relay is stored at Harlowstrasse 248, Yaristzac 12345 since the move.", [("STREET_ADDRESS", "Harlowstrasse 248")]),
         ("We owe Dr. Peltez a reply on INC-44213.", [("PERSON_NAME", "Dr. Peltez")]),
+        ("Please call Jean-Luc Moreau about the relay.", [("PERSON_NAME", "Jean-Luc Moreau")]),
+        ("We owe O'Brien, Anna a reply.", [("PERSON_NAME", "O'Brien, Anna")]),
+        ("Maria de Souza called about the invoice.", [("PERSON_NAME", "Maria de Souza")]),
+        ("We owe van der Berg, Anna a reply.", [("PERSON_NAME", "van der Berg, Anna")]),
         ("Haruka will take the minutes.", []),
         ("Build 2025-03-19 passed.", []),
         ("", []),
@@ -113,16 +117,16 @@ def test_turns(spark, chunk):
     ]
 
 
-def test_turns_of_nothing(spark):
-    assert _turns(spark, []) == []
-    assert turns.normal("**Yusuf G.:**") == "yusuf g" and turns.normal(None) == "" and turns.normal("Olga (host)") == "olga"
-
 @pytest.mark.parametrize("chunk", [4096, 1])
 def test_turns_without_an_index_come_last(spark, chunk):
     rows = [(1, None, 9, None, "Then the scanner failed."), *ROWS, (1, None, 8, "Yusuf Garenlo", "Ready."), (None, 1, 30, "Yusuf Garenlo", "Lost words.")]
     assert _turns(spark, rows, chunk=chunk)[3:] == [(4, "Yusuf Garenlo", "legal found 4 percent of rows wrong ready then the scanner failed")]
 
 
+def test_turns_of_nothing(spark):
+    assert _turns(spark, []) == []
+    assert turns.normal("**Yusuf G.:**") == "yusuf g" and turns.normal(None) == "" and turns.normal("Olga (host)") == "olga"
+
 
 BODY = "Größe: the relay = fine & <b>bold</b>\nnext line"
 
