@@ -3,30 +3,33 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.sketch import bands, sketches
+from parley.llm.sketch import bands, placed
+from parley.operators.skew import salted_join
 from parley.sources.tables import cut
 
-#: Words in more than this share of the texts are packed as bits for the check, the others as hashes; either way they count.
-#: As the shares of all words add up to the mean set size, at most size / COMMON words can be common.
-COMMON = 0.1
 ROWS, BANDS = 5, 32
-#: Classes that a partition remembers so as not to sketch them twice; beyond it copies are sketched again, to the same buckets.
-SEEN = 500_000
-#: Distinct words that a partition counts or keeps hashes of before it starts anew.
-VOCABULARY = 200_000
-BANDED = "band node parity_0 parity_1"
-
+#: Bytes of a word's hash that the check compares, and of a band's that name a bucket within a partition.
+HASH, TAIL = 5, 5
+#: Buckets and copies are worked on where they lie up to this size; larger ones are cut into blocks of it, whose pairs are spread over tasks.
+BLOCK = 4096
+#: Classes that a partition remembers so as not to sketch them twice, and words of which it keeps hashes; beyond that it starts anew.
+SEEN, VOCABULARY = 500_000, 200_000
+
+#: What parts words: all but letters and digits.
+_BREAK = r"[^\p{L}\p{N}]+"
 _WORD = re.compile(r"[^\W_]+")
+_PARITIES = 56
+_MASK = np.uint64((1 << _PARITIES) - 1)
 
 
 def words(text: str) -> set[str]:
@@ -38,19 +41,53 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > VOCABULARY:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def node(self, tbl: str, found: set[str]) -> int:
-        """The class of a word set within a table: a 64-bit hash, the sum of its words', whose lowest byte is the number of words, at most 255."""
-        h = sum(map(self.__getitem__, found)) + self["\n" + tbl] & 0xFFFFFFFFFFFFFF00 | min(len(found), 255)
-        return h - (1 << 64) if h >> 63 else h
 
+def word_sets(texts: pa.Array, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, codes, offsets): the set of text k is base[codes[offsets[k]:offsets[k + 1]]], 64-bit hashes of its distinct words, ascending.
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, int, set[str]]]:
-    for tbl, key, text in zip(batch.column("tbl").to_pylist(), batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-        if text and (found := words(text)):
-            yield tbl, key, found
+    Words are split and told apart in Arrow, so each word of a batch is lower-cased and hashed once. Null texts have none.
+    """
+    parts = pc.split_pattern_regex(pc.fill_null(texts, ""), pattern=_BREAK)
+    flat = pc.dictionary_encode(parts.flatten())
+    low = [w.lower() for w in flat.dictionary.to_pylist()]
+    n = len(texts)
+    if all(w.isalnum() for w in low if w):
+        row, at = np.repeat(np.arange(n), pc.list_value_length(parts).to_numpy()), flat.indices.to_numpy()
+    else:  # a word that lower case breaks up
+        found = [_WORD.findall(t.lower()) if t else [] for t in texts.to_pylist()]
+        low = sorted({w for f in found for w in f})
+        number = {w: i for i, w in enumerate(low)}
+        row = np.repeat(np.arange(n), [len(f) for f in found])
+        at = np.array([number[w] for f in found for w in f], np.int64)
+    base, same = np.unique(np.array([hashes[w] for w in low], np.uint64), return_inverse=True)
+    real = np.array([w != "" for w in low], bool)[at]
+    key = np.unique(row[real] << 32 | same[at[real]])
+    return base, key & 0xFFFFFFFF, np.searchsorted(key >> 32, np.arange(n + 1))
+
+
+def nodes(tbl: pa.Array, values: np.ndarray, offsets: np.ndarray, hashes: _Hashes) -> np.ndarray:
+    """The class of each word set within its table: a 64-bit hash of its words' hashes in order. n distinct sets make a false class with a chance of n**2 / 2**65."""
+    data, at = values.tobytes(), (offsets * 8).tolist()
+    return np.array([xxhash.xxh3_64_intdigest(data[i:j], hashes["\n" + str(t)]) for t, i, j in zip(tbl.to_pylist(), at, at[1:], strict=False)], np.uint64).view(np.int64)
+
+
+def _cut_hashes(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Sets as binary: the lowest HASH bytes of each hash."""
+    data = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH].tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * HASH).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _Hashes()
+    for b in batches:
+        base, codes, offsets = word_sets(b.column("text"), hashes)
+        values = base[codes]
+        some = pa.array(np.diff(offsets) > 0)
+        out = [b.column("tbl"), b.column("key"), pa.array(nodes(b.column("tbl"), values, offsets, hashes)), _cut_hashes(values, offsets)]
+        yield pa.RecordBatch.from_arrays(out, names=["tbl", "key", "node", "packed"]).filter(some)
 
 
 def members(texts: DataFrame) -> DataFrame:
@@ -58,199 +95,178 @@ def members(texts: DataFrame) -> DataFrame:
 
     Texts that are null or without words have none; rows delivered twice come out once. Other columns aren't read.
     """
+    return texts.select("tbl", "key", "text").mapInArrow(_records, "tbl string, key long, node long, packed binary").select("tbl", "key", "node").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            out = [(t, k, hashes.node(t, w)) for t, k, w in _rows(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["tbl", "key", "node"])
 
-    return texts.select("tbl", "key", "text").mapInArrow(run, "tbl string, key long, node long").distinct()
+def parities(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A long for each set of hashes: the parity of the number of its elements in each of 56 classes, and its size, at most 255, in the top byte.
 
-
-def common_words(texts: DataFrame, share: float) -> list[str]:
-    """The words in more than `share` of the texts that aren't empty, sorted: at most mean set size / share of them, hence fit for the driver.
-
-    Counts cover all texts and are combined in each partition before they are shuffled.
+    Sets whose parities differ in d places differ in at least d elements. Sets must not be empty.
     """
+    bit = np.uint64(1) << ((values >> np.uint64(8)) % np.uint64(_PARITIES))
+    return np.bitwise_xor.reduceat(bit, offsets[:-1]) | np.minimum(np.diff(offsets), 255).astype(np.uint64) << np.uint64(_PARITIES)
+
+
+def _packed_entries(node: np.ndarray, parity: np.ndarray, band: np.ndarray, count: int) -> Iterator[tuple[int, bytes]]:
+    """(part, data) for each partition that the bands [n, m] of n sets go to: its sets once, and the tails of their bands there."""
+    n, m = band.shape
+    flat = band.ravel().view(np.uint64)
+    part = (flat % np.uint64(count)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    where, tail = order // m, (flat[order] >> np.uint64(24)).astype("<u8")
+    heads = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
+        first = np.flatnonzero(np.diff(where[a:b], prepend=-1))
+        own = where[a:b][first]
+        times = np.diff(first, append=b - a).astype(np.uint8)
+        yield int(part[order[a]]), np.int64(len(own)).tobytes() + node[own].tobytes() + parity[own].tobytes() + times.tobytes() + tail[a:b].view(np.uint8).reshape(-1, 8)[:, :TAIL].tobytes()
+
+
+def _entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(band, node, parity) of packed entries."""
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    node, parity, times = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.uint64, n, 8 + 8 * n), np.frombuffer(data, np.uint8, n, 8 + 16 * n)
+    tails = np.frombuffer(data, np.uint8, -1, 8 + 17 * n).reshape(-1, TAIL)
+    band = np.zeros((len(tails), 8), np.uint8)
+    band[:, :TAIL] = tails
+    return band.view(np.uint64).ravel(), np.repeat(node, times), np.repeat(parity, times)
+
+
+def _banded(rows: int, count: int, parts: int):
+    """Batches of texts to (part, data): packed entries. A class is sketched once for each task, from all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        seen: set[int] = set()
+        hashes = _Hashes()
+        for b in batches:
+            base, codes, offsets = word_sets(b.column("text"), hashes)
+            node = nodes(b.column("tbl"), base[codes], offsets, hashes)
+            sizes = np.diff(offsets)
+            fresh = [k for k, x in enumerate(node.tolist()) if sizes[k] and x not in seen and not (len(seen) < SEEN and seen.add(x))]
+            if not fresh:
+                continue
+            sizes = sizes[fresh]
+            ends = np.cumsum(sizes)
+            codes = codes[np.repeat(offsets[fresh] - (ends - sizes), sizes) + np.arange(ends[-1])]
+            offsets = np.concatenate([[0], ends])
+            salt = np.array([hashes["\n" + str(t)] for t in b.column("tbl").take(pa.array(fresh)).to_pylist()], np.uint64).view(np.int64)
+            band = bands(placed(base, codes, offsets, rows * count), rows) ^ salt[:, None]
+            out = list(_packed_entries(node[fresh], parities(base[codes], offsets), band, parts))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["part", "data"])
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
-            counts.clear()
-            return out
+    return run
 
-        for batch in batches:
-            for _, _, found in _rows(batch):
-                counts.update(found)
-            if len(counts) > VOCABULARY:
-                yield flush()
-        yield flush()
 
-    counted = texts.select("tbl", "key", "text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    n = texts.where("text <> ''").count()
-    return sorted(r[0] for r in counted.where(F.col("n") > n * share).select("w").collect())
+def _fitting(node: np.ndarray, parity: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the sets at x and y are two whose sizes and parities allow the threshold.
 
+    Sets of n words in all that reach it differ in at most n (1 - threshold) / (1 + threshold) of them, so in no more parities.
+    """
+    a, b = parity[x], parity[y]
+    size = (a >> np.uint64(_PARITIES)).astype(np.int64), (b >> np.uint64(_PARITIES)).astype(np.int64)
+    low, high = np.minimum(*size), np.maximum(*size)
+    apart = np.bitwise_count((a ^ b) & _MASK)
+    return (node[x] != node[y]) & ((high == 255) | (low >= high * threshold - 1e-9) & (apart <= (low + high) * ((1 - threshold) / (1 + threshold)) + 1e-6))
 
-def _parities(values: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Two longs for each set of hashes, of 128 parities: the number of its elements in each of as many classes, odd or even.
 
-    Sets whose parities differ in d places differ in at least d elements. Sets must not be empty.
-    """
-    place = values >> np.uint64(8) & np.uint64(127)
-    bit = np.uint64(1) << (place & np.uint64(63))
-    return [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == half, bit, np.uint64(0)), starts).view(np.int64) for half in (0, 1)]
+def _ordered(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
 
-def _apart(parities: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The number of parities in which the sets at x differ from those at y."""
-    return sum(np.bitwise_count((p[x] ^ p[y]).view(np.uint64)) for p in parities)  # of signed numbers the absolute value is counted
+_PAIRS = "node_a long, node_b long, bucket long, block int, data binary"
 
 
-def _banded(rows: int, count: int):
-    """Batches of texts to rows (band, node, parity_0, parity_1). A class is sketched once for each partition, from all its words."""
+def _pairs(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.int32()), pa.nulls(len(left), pa.binary())], names=["node_a", "node_b", "bucket", "block", "data"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        hashes = _Hashes()
-        for batch in batches:
-            sets = []  # (salt, node, words)
-            for tbl, _, found in _rows(batch):
-                node = hashes.node(tbl, found)
-                if node in seen:
-                    continue
-                if len(seen) < SEEN:
-                    seen.add(node)
-                sets.append((hashes["\n" + tbl] & 0x7FFFFFFFFFFFFFFF, node, found))
-            if sets:
-                values = np.array([h for _, _, found in sets for h in map(hashes.__getitem__, found)], np.uint64)
-                bounds = np.concatenate([[0], np.cumsum([len(found) for _, _, found in sets])])
-                h = bands(sketches(values, bounds, rows * count), rows) ^ np.array([s for s, _, _ in sets], np.int64)[:, None]
-                each = [np.array([n for _, n, _ in sets], np.int64), *_parities(values, bounds[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), *(pa.array(np.repeat(x, count)) for x in each)], names=BANDED.split())
 
-    return run
+def _block(bucket: int, block: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int64()), pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["node_a", "node_b", "bucket", "block", "data"])
 
 
-def _packed(common: list[str]):
-    """Batches of texts to (tbl, key, node, packed): a bit for each common word, then 4 bytes of hash for each other word, in order."""
-    bit = {w: 1 << i for i, w in enumerate(common)}
-    width = (len(common) + 7) // 8
+def _bucket_pairs(threshold: float, block: int):
+    """The packed entries of a partition to the pairs of its buckets that fit; of buckets over `block`, to blocks of (node, parity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            out = []
-            for tbl, key, found in _rows(batch):
-                often = bit.keys() & found
-                rest = np.array(sorted([h & 0xFFFFFFFF for h in map(hashes.__getitem__, found - often)]), "<u4").tobytes()
-                out.append((tbl, key, hashes.node(tbl, found), sum(map(bit.__getitem__, often)).to_bytes(width, "little") + rest))
-            types = (pa.string(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["tbl", "key", "node", "packed"])
+        got = [(part, _entries(d)) for b in batches for part, d in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True)]
+        if not got:
+            return
+        band, node, parity = (np.concatenate([e[k] for _, e in got]) for k in range(3))
+        part = got[0][0]
+        del got
+        order = np.argsort(band, kind="stable")
+        band, node, parity = band[order], node[order], parity[order]
+        heads = np.flatnonzero(np.diff(band, prepend=~band[:1]))
+        sizes = np.diff(heads, append=len(band))
+        small = np.ones(len(band), bool)
+        for k in np.flatnonzero(sizes > block).tolist():
+            own, first = np.unique(node[heads[k] : heads[k] + sizes[k]], return_index=True)
+            small[heads[k] : heads[k] + sizes[k]] = False
+            bucket = int(np.int64((int(band[heads[k]]) << 20 | part) & 0x7FFFFFFFFFFFFFFF))
+            for i in range(0, len(own), block):
+                yield _block(bucket, i // block, own[i : i + block].tobytes() + parity[heads[k] + first[i : i + block]].tobytes())
+        band, node, parity = band[small], node[small], parity[small]
+        at, k = np.arange(len(band)), 1
+        while len(at):
+            at = at[: np.searchsorted(at, len(band) - k)]
+            at = at[band[at] == band[at + k]]
+            fit = at[_fitting(node, parity, at, at + k, threshold)]
+            if len(fit):
+                yield _pairs(*_ordered(node, fit, fit + k))
+            k += 1
 
     return run
 
 
-def _checked(common: list[str], threshold: float, names: list[str]):
-    """Batches with two packed sets a and b to the rows that reach the threshold: the columns `names` and their similarity.
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """(a, b, same): the data of each two blocks of a bucket, of blocks (bucket, block, data) numbered from 0; `same` tells that they are one.
 
-    Where there are tables tbl_a and tbl_b, they must agree.
+    Work for n blocks is spread over tasks by pair: a block is repeated n times, and no task holds a bucket.
     """
-    width = (len(common) + 7) // 8
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, sims = [], []
-            tables = [batch.column(c).to_pylist() for c in ("tbl_a", "tbl_b") if c in batch.schema.names]
-            for k, (x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-                bits_a, bits_b = int.from_bytes(x[:width], "little"), int.from_bytes(y[:width], "little")
-                rest_a, rest_b = set(memoryview(x[width:]).cast("I")), set(memoryview(y[width:]).cast("I"))
-                both = (bits_a & bits_b).bit_count() + len(rest_a & rest_b)
-                either = bits_a.bit_count() + len(rest_a) + bits_b.bit_count() + len(rest_b) - both
-                if both >= threshold * either - 1e-9 and (not tables or tables[0][k] == tables[1][k]):
-                    keep.append(k)
-                    sims.append(both / either)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in names] + [pa.array(sims, pa.float64())], names=[*names, "similarity"])
+    n = blocks.groupBy("bucket").agg((F.max("block") + 1).alias("n"))
+    every = salted_join(blocks, n, ["bucket"], "inner")
+    i = F.explode(F.sequence(F.col("block"), F.col("n") - 1)).alias("j")
+    left = every.select("bucket", F.col("block").alias("i"), i, F.col("data").alias("a"))
+    right = every.select("bucket", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("data").alias("b"))
+    return left.join(right, ["bucket", "i", "j"]).select("a", "b", (F.col("i") == F.col("j")).alias("same"))
 
-    return run
-
-
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of records, sorted by class, table, set and key, to the pairs of keys whose sets are equal. Only the keys of the set at hand are kept."""
-    now, keys = None, []
-    for batch in batches:
-        tbls, left, right = [], [], []
-        for key, *at in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "tbl", "packed")), strict=True):
-            if at != now:
-                now, keys = at, [key]
-            elif key != keys[-1]:
-                tbls += [at[1]] * len(keys)
-                left += keys
-                right += [key] * len(keys)
-                keys.append(key)
-            if len(left) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(tbls, pa.string()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["tbl_a", "ka", "kb"])
-                tbls, left, right = [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(tbls, pa.string()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["tbl_a", "ka", "kb"])
-
-
-def _bucket_pairs(threshold: float):
-    """Batches of BANDED, sorted, to the pairs of nodes of a band whose sizes and parities allow the threshold.
-
-    Sets of n words in all that reach it differ in at most n (1 - threshold) / (1 + threshold) of them, so in no more
-    parities. Only the nodes of the band at hand are kept between batches, 24 bytes each.
-    """
-    most = (1 - threshold) / (1 + threshold)
 
-    def pairs(band: np.ndarray, node: np.ndarray, parities: list[np.ndarray], begin: int) -> Iterator[pa.RecordBatch]:
-        """Pairs of which the second is at `begin` or behind it."""
-        size = node & 255
-        at, k = np.arange(len(band)), 1
-        while len(at):
-            at = at[at < len(band) - k]
-            at = at[band[at] == band[at + k]]
-            use = at[at + k >= begin]
-            x, y = size[use], size[use + k]
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            apart = _apart(parities, use, use + k)
-            fit = use[(node[use] != node[use + k]) & ((high == 255) | (low >= high * threshold - 1e-9) & (apart <= (low + high) * most + 1e-6))]
-            if len(fit):
-                yield pa.RecordBatch.from_arrays([pa.array(node[fit]), pa.array(node[fit + k])], names=["node_a", "node_b"])
-            k += 1
+def _crossed(threshold: float):
+    """Pairs of blocks of (node, parity) to the pairs of nodes that fit, by rows of the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64) for _ in BANDED.split()]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            kept = len(rest[0])
-            rest = [np.concatenate([x, np.asarray(batch.column(c))]) for x, c in zip(rest, BANDED.split(), strict=True)]
-            band, node = rest[:2]
-            fresh = np.ones(len(band), bool)
-            fresh[1:] = (band[1:] != band[:-1]) | (node[1:] != node[:-1])
-            kept, rest = int(fresh[:kept].sum()), [x[fresh] for x in rest]
-            yield from pairs(rest[0], rest[1], rest[2:], kept)
-            last = np.searchsorted(rest[0], rest[0][-1])
-            rest = [x[last:] for x in rest]
+            for a, b, same in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("same").to_pylist(), strict=True):
+                n, m = len(a) // 16, len(b) // 16
+                node = np.concatenate([np.frombuffer(a, np.int64, n), np.frombuffer(b, np.int64, m)])
+                parity = np.concatenate([np.frombuffer(a, np.uint64, n, 8 * n), np.frombuffer(b, np.uint64, m, 8 * m)])
+                for lo in range(0, n, 64):
+                    x, y = np.divmod(np.arange(min(64, n - lo) * m), m)
+                    x, y = x + lo, y + n
+                    if same:
+                        x, y = x[y - n > x], y[y - n > x]
+                    fit = _fitting(node, parity, x, y, threshold)
+                    if fit.any():
+                        left, right = _ordered(node, x[fit], y[fit])
+                        yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["node_a", "node_b"])
 
     return run
 
 
-def candidates(texts: DataFrame, threshold: float = 0.7, rows: int = ROWS, count: int = BANDS) -> DataFrame:
+def candidates(texts: DataFrame, threshold: float = 0.7, rows: int = ROWS, count: int = BANDS, block: int = BLOCK) -> DataFrame:
     """(node_a, node_b), node_a < node_b: different classes of one table that share a bucket and whose sizes and parities allow the threshold.
 
     The sketches take all words of a set, so the chance of missing a pair of similarity s is (1 - s**rows)**count
     whatever the frequencies of its words; `rows` coordinates make a band and name a bucket. Texts that share only
     common words meet in buckets too; their parities, which never part a pair that reaches the threshold, tell most of
-    these from near copies, up to about 200 words. Copies share a class and are sketched once for each partition.
-    Buckets are read from sorted partitions, which spill, and nothing is capped.
+    these from near copies, up to about 100 words. Entries go to their partition packed, a set once for all its bands
+    there. A bucket over `block` is compared in pairs of blocks, spread over tasks; nothing is capped.
     """
-    banded = texts.select("tbl", "key", "text").mapInArrow(_banded(rows, count), ", ".join(f"{c} long" for c in BANDED.split()))
-    banded = banded.repartition("band").sortWithinPartitions("band", "node")
-    return banded.mapInArrow(_bucket_pairs(threshold), _never_null("node_a node_b")).distinct()
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    banded = texts.select("tbl", "key", "text").mapInArrow(_banded(rows, count, parts), "part int, data binary").repartitionById(parts, "part")
+    found = cut(banded.mapInArrow(_bucket_pairs(threshold, block), _PAIRS))
+    crossed = block_pairs(found.where("block is not null").select("bucket", "block", "data")).mapInArrow(_crossed(threshold), "node_a long, node_b long")
+    return found.where("block is null").select("node_a", "node_b").unionByName(crossed).distinct()
 
 
 def _never_null(names: str) -> T.StructType:
@@ -259,39 +275,135 @@ def _never_null(names: str) -> T.StructType:
     return T.StructType([T.StructField(c, kinds.get(c, T.LongType()), False) for c in names.split()])
 
 
-def records(texts: DataFrame, frequent: list[str]) -> DataFrame:
+def records(texts: DataFrame) -> DataFrame:
     """(tbl, key, node, packed) of texts (tbl, key, text), spread by node: the word set of each record, packed."""
-    return texts.select("tbl", "key", "text").mapInArrow(_packed(frequent), _never_null("tbl key node packed")).repartition("node")
+    return texts.select("tbl", "key", "text").mapInArrow(_records, _never_null("tbl key node packed")).repartition("node")
+
+
+def _distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
+    for b in _records(batches):
+        fresh = [k for k, x in enumerate(b.column("node").to_pylist()) if x not in seen and not (len(seen) < SEEN and seen.add(x))]
+        yield b.select(["node", "packed"]).take(pa.array(fresh, pa.int64()))
+
+
+def _checked(threshold: float, names: list[str]):
+    """Batches with two packed sets a and b to the rows that reach the threshold: the columns `names` and their similarity.
+
+    Where there are tables tbl_a and tbl_b, they must agree. Words are shared that have equal hashes of HASH bytes; all
+    pairs of a batch are compared in one sort.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, keys = np.zeros(batch.num_rows, np.int64), []
+            for c in ("a", "b"):
+                x = batch.column(c)
+                n = pc.binary_length(x).to_numpy().astype(np.int64) // HASH
+                wide = np.zeros((int(n.sum()), 8), np.uint8)
+                wide[:, :HASH] = np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, HASH)
+                total += n
+                keys.append(wide.view("<u8").ravel() | np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(8 * HASH), n))
+            key = np.sort(np.concatenate(keys))
+            both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(8 * HASH)).astype(np.int64), minlength=batch.num_rows)
+            either = total - both
+            fit = both >= threshold * either - 1e-9
+            if "tbl_b" in batch.schema.names:
+                fit &= pc.equal(batch.column("tbl_a"), batch.column("tbl_b")).to_numpy(zero_copy_only=False).astype(bool)
+            at = pa.array(np.flatnonzero(fit))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in names] + [pa.array((both / np.maximum(either, 1))[fit])], names=[*names, "similarity"])
+
+    return run
+
+
+_COPIES = "tbl string, ka long, kb long, bucket long, block int, data binary"
+
+
+def _copies(size: int):
+    """Batches of records, sorted by class, table, set and key, to the pairs of keys whose sets are equal; of more than `size` keys, to blocks of keys."""
+    names = [x.split()[0] for x in _COPIES.split(", ")]
+
+    def rows(tbl: str, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([tbl] * len(a), pa.string()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names=names)
+
+    def block(at: list, number: int, keys: list[int]) -> pa.RecordBatch:
+        bucket = xxhash.xxh3_64_intdigest(at[2], at[0] & 0xFFFFFFFF) >> 1
+        return pa.RecordBatch.from_arrays([pa.array([at[1]], pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int64()), pa.array([number], pa.int32()), pa.array([_of_table(at[1], keys)], pa.binary())], names=names)
+
+    def ended(at: list, blocks: int, keys: list[int]) -> Iterator[pa.RecordBatch]:
+        if blocks:
+            yield block(at, blocks, keys)
+        elif len(keys) > 1:
+            own = np.array(keys, np.int64)
+            for i in range(0, len(own), 512):
+                x, y = np.divmod(np.arange(min(512, len(own) - i) * len(own)), len(own))
+                later = y > x + i
+                yield rows(at[1], own[x[later] + i], own[y[later]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, blocks = None, [], 0
+        for batch in batches:
+            for key, *at in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "tbl", "packed")), strict=True):
+                if at != now:
+                    yield from ended(now, blocks, keys)
+                    now, keys, blocks = at, [key], 0
+                elif key != keys[-1]:
+                    if len(keys) == size:
+                        yield block(now, blocks, keys)
+                        keys, blocks = [], blocks + 1
+                    keys.append(key)
+        yield from ended(now, blocks, keys)
+
+    return run
+
+
+def _of_table(tbl: str, keys: list[int]) -> bytes:
+    name = tbl.encode()
+    return np.int64(len(name)).tobytes() + name + np.array(keys, np.int64).tobytes()
+
+
+def _crossed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks of keys to all pairs of their keys."""
+    for batch in batches:
+        for a, b, same in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("same").to_pylist(), strict=True):
+            n = int(np.frombuffer(a, np.int64, 1)[0])
+            tbl, left, right = a[8 : 8 + n].decode(), np.frombuffer(a, np.int64, -1, 8 + n), np.frombuffer(b, np.int64, -1, 8 + n)
+            for i in range(0, len(left), 64):
+                x, y = np.divmod(np.arange(min(64, len(left) - i) * len(right)), len(right))
+                keep = y > x + i if same else slice(None)
+                x, y = left[x[keep] + i], right[y[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array([tbl] * len(x), pa.string()), pa.array(x), pa.array(y)], names=["tbl", "ka", "kb"])
 
 
-def similar_sets(texts: DataFrame, threshold: float = 0.7, common: float = COMMON) -> DataFrame:
+def similar_sets(texts: DataFrame, threshold: float = 0.7, block: int = BLOCK) -> DataFrame:
     """(node_a, node_b, similarity), node_a < node_b: different classes of word sets of one table at least `threshold` alike.
 
-    texts: (tbl, key, text). Candidates are checked on all their words, common words bit by bit and others by 32-bit
-    hashes. An empty table gives no rows.
+    texts: (tbl, key, text). Candidates are checked on all their words by 40-bit hashes: two sets of n and m words agree
+    falsely in one with a chance of n m / 2**40. A copy is dropped where it is read, so hot classes have few rows. An
+    empty table gives no rows.
     """
-    frequent = common_words(texts, common)
-    sets = records(texts, frequent).groupBy("node").agg(F.first("packed").alias("packed"))
-    both = candidates(texts, threshold).join(sets.select(F.col("node").alias("node_a"), F.col("packed").alias("a")), "node_a")
+    sets = texts.select("tbl", "key", "text").mapInArrow(_distinct_sets, _never_null("node packed")).repartition("node").groupBy("node").agg(F.min("packed").alias("packed"))
+    both = candidates(texts, threshold, block=block).join(sets.select(F.col("node").alias("node_a"), F.col("packed").alias("a")), "node_a")
     both = both.join(sets.select(F.col("node").alias("node_b"), F.col("packed").alias("b")), "node_b").select("node_a", "node_b", "a", "b")
-    return both.mapInArrow(_checked(frequent, threshold, ["node_a", "node_b"]), "node_a long, node_b long, similarity double")
+    return both.mapInArrow(_checked(threshold, ["node_a", "node_b"]), "node_a long, node_b long, similarity double")
 
 
-def similar_pairs(texts: DataFrame, threshold: float = 0.7, common: float = COMMON) -> DataFrame:
+def similar_pairs(texts: DataFrame, threshold: float = 0.7, block: int = BLOCK) -> DataFrame:
     """(tbl, id_a, id_b), id_a < id_b: all pairs of records of one table whose word sets are at least `threshold` alike.
 
-    As similar_sets, with the keys of each class in place of the class, and the pairs within a class added; so the rows
-    grow with the square of the copies of a text, which is what this form asks for. Keys with several texts count once.
+    As similar_sets, with the keys of each class in place of the class, and the pairs within a class added, in blocks
+    where it is large; so the rows grow with the square of the copies of a text, which is what this form asks for. Keys
+    with several texts count once.
     """
-    frequent = common_words(texts, common)
-    every = records(texts, frequent)
+    every = records(texts)
     side = lambda x: every.select(F.col("tbl").alias(f"tbl_{x}"), F.col("key").alias(f"k{x}"), F.col("node").alias(f"node_{x}"), F.col("packed").alias(x))
     # every column of both sides is used, so that all three readers share one exchange of the records
-    both = candidates(texts, threshold).join(side("a"), "node_a").join(side("b"), "node_b").where("ka <> kb").select("tbl_a", "tbl_b", "ka", "kb", "a", "b")
-    linked = both.mapInArrow(_checked(frequent, threshold, ["tbl_a", "ka", "kb"]), "tbl_a string, ka long, kb long, similarity double")
-    same = every.sortWithinPartitions("node", "tbl", "packed", "key").mapInArrow(_copies, "tbl_a string, ka long, kb long")
-    pairs = linked.select("tbl_a", "ka", "kb").unionByName(same.select("tbl_a", "ka", "kb"))
-    return pairs.select(F.col("tbl_a").alias("tbl"), F.least("ka", "kb").alias("id_a"), F.greatest("ka", "kb").alias("id_b")).distinct()
+    both = candidates(texts, threshold, block=block).join(side("a"), "node_a").join(side("b"), "node_b").where("ka <> kb").select("tbl_a", "tbl_b", "ka", "kb", "a", "b")
+    linked = both.mapInArrow(_checked(threshold, ["tbl_a", "ka", "kb"]), "tbl_a string, ka long, kb long, similarity double").select(F.col("tbl_a").alias("tbl"), "ka", "kb")
+    same = cut(every.sortWithinPartitions("node", "tbl", "packed", "key").mapInArrow(_copies(block), _COPIES))
+    crossed = block_pairs(same.where("block is not null").select("bucket", "block", "data")).mapInArrow(_crossed_keys, "tbl string, ka long, kb long")
+    pairs = linked.unionByName(same.where("block is null").select("tbl", "ka", "kb")).unionByName(crossed)
+    return pairs.select("tbl", F.least("ka", "kb").alias("id_a"), F.greatest("ka", "kb").alias("id_b")).distinct()
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -299,15 +411,15 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
     Each round every node takes the least label among its own and its neighbours', then the label of its label
     (pointer jumping), so long chains need few rounds; each round is a checkpoint in the shared folder. Neighbours'
-    labels are combined on the map side, so hubs don't gather in one task.
+    labels are combined on the map side; hubs, and the label of a giant component, are salted.
     """
     edges = cut(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionByName(links.select(F.col("node_b").alias("a"), F.col("node_a").alias("b"))).distinct())
     labels = cut(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     for _ in range(rounds):
-        near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        nxt = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("label"))
+        near = salted_join(edges, labels.withColumnRenamed("node", "b"), ["b"], "inner").groupBy("a").agg(F.min("label").alias("near"))
+        nxt = cut(labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("label")))
         jump = nxt.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = cut(nxt.join(jump, "label", "left").select("node", F.least("label", F.coalesce("root", "label")).alias("new")))
+        new = cut(salted_join(nxt, jump, ["label"], "left").select("node", F.least("label", F.coalesce("root", "label")).alias("new")))
         moved = new.join(labels, "node").where("new <> label").limit(1).count()
         labels = new.select("node", F.col("new").alias("label"))
         if not moved:

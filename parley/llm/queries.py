@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import leaks, mixing, names, neardup, pii, spam, turns
+from parley.operators.skew import salted_join
 from parley.sources.tables import table
 
 
@@ -25,7 +26,7 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _contents(spark, sf_dir)
     links = neardup.cut(neardup.similar_sets(texts, 0.7))
     ends = links.select(F.col("node_a").alias("node")).unionByName(links.select(F.col("node_b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = neardup.members(texts).join(neardup.components(links), "node", "left").join(ends, "node", "left")
+    known = salted_join(neardup.members(texts), neardup.components(links).join(ends, "node"), ["node"], "left")
     return known.select("tbl", F.col("key").alias("row_id"), F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 

@@ -34,13 +34,18 @@ def sketches(values: np.ndarray, offsets: np.ndarray, t: int, seed: int = 1) ->
 
     t must be below 2**15. Repeated elements count once, as equal hashes meet in the same bin.
     """
+    base, where = np.unique(values.astype(np.uint64), return_inverse=True)
+    return placed(base, where.ravel(), offsets, t, seed)
+
+
+def placed(base: np.ndarray, where: np.ndarray, offsets: np.ndarray, t: int, seed: int = 1) -> np.ndarray:
+    """As sketches(), of sets given as places in the table `base` of hashes: set k is base[where[offsets[k]:offsets[k + 1]]]."""
     n, sizes = len(offsets) - 1, np.diff(offsets)
     out = np.full(n * t, np.iinfo(np.uint64).max, np.uint64)
-    base, where = np.unique(values.astype(np.uint64), return_inverse=True)
     base = mix(base + _shift(seed))
     row = np.repeat(np.arange(n), sizes)
     open_rows = np.flatnonzero(sizes > 0)
-    live_row, live_elem = row, where.ravel()
+    live_row, live_elem = row, where
     for i in range(t):
         if not len(open_rows):
             break
@@ -59,7 +64,7 @@ def sketches(values: np.ndarray, offsets: np.ndarray, t: int, seed: int = 1) ->
         r, b = np.nonzero(out.reshape(n, t)[open_rows] == np.iinfo(np.uint64).max)
         starts, lens = offsets[open_rows[r]], sizes[open_rows[r]]
         ends = np.cumsum(lens)
-        elem = where.ravel()[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])]
+        elem = where[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])]
         bins = np.repeat(b, lens)
         h = mix(base[elem] + (np.uint64(t + 1) + bins.astype(np.uint64)) * _STEP)
         key = ((np.uint64(t) + bins.astype(np.uint64)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parley.llm import neardup
@@ -107,6 +108,37 @@ def test_parities_never_part_sets_by_more_than_they_differ():
     r = np.random.default_rng(3)
     sets = [set(r.choice(mix(np.arange(300, dtype=np.uint64)), size).tolist()) for size in r.integers(1, 200, 60)]
     values, bounds = _sets(sets)
-    halves = neardup._parities(values, bounds[:-1])
+    long = neardup.parities(values, bounds)
     for i, j in combinations(range(60), 2):
-        assert neardup._apart(halves, np.array([i]), np.array([j]))[0] <= len(sets[i] ^ sets[j])
+        assert int((long[i] ^ long[j]) & neardup._MASK).bit_count() <= len(sets[i] ^ sets[j])
+        assert int(long[i]) >> 56 == len(sets[i])
+
+
+def test_words_in_arrow_are_those_of_the_expression():
+    texts = ["Héllo wörld_x ²3 Ⅷ a-b A-B", "", None, "ÄÖ äö", "ǅ ß STRASSE", "日本 語1"]
+    for some in (texts, [*texts, "DİYARBAKIR x"]):  # a letter that lower case breaks up
+        hashes = neardup._Hashes()
+        base, codes, offsets = neardup.word_sets(pa.array(some), hashes)
+        got = [set(base[codes[i:j]].tolist()) for i, j in zip(offsets, offsets[1:], strict=False)]
+        assert got == [{hashes[w] for w in neardup.words(t)} if t else set() for t in some]
+
+
+def test_packed_entries_come_back():
+    r = np.random.default_rng(5)
+    node, parity, band = r.integers(-(2**60), 2**60, 50), r.integers(0, 2**60, 50).astype(np.uint64), r.integers(-(2**63), 2**63 - 1, (50, 32))
+    got = set()
+    for part, data in neardup._packed_entries(node, parity, band, 7):
+        got |= {(part, *x) for x in zip(*(e.tolist() for e in neardup._entries(data)), strict=True)}
+    flat = band.view(np.uint64)
+    assert got == {(int(flat[i, j] % np.uint64(7)), int(flat[i, j] >> np.uint64(24)) & 0xFFFFFFFFFF, int(node[i]), int(parity[i])) for i in range(50) for j in range(32)}
+
+
+def test_large_buckets_and_copies_are_worked_on_in_blocks(spark):
+    r = random.Random(2)
+    form = [f"form{i}" for i in range(40)]
+    rows = [("x", k, " ".join(form + [f"own{k}"] * (k % 4 > 0))) for k in range(60)] + [("y", k, " ".join(form)) for k in range(9)] + [("x", 99, " ".join(r.sample(form, 6)))]
+    df = spark.createDataFrame(rows, "tbl string, key long, text string").repartition(3)
+    want = _brute(rows, 0.7)
+    assert {tuple(x) for x in neardup.similar_pairs(df, 0.7, block=4).collect()} == want
+    links = neardup.similar_sets(df, 0.7, block=4)
+    assert links.count() == 46 * 45 // 2 and links.distinct().count() == links.count()
