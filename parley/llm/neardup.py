@@ -25,8 +25,6 @@ BLOCK = 4096
 #: Classes that a partition remembers so as not to sketch them twice, and words of which it keeps hashes; beyond that it starts anew.
 SEEN, VOCABULARY = 500_000, 200_000
 
-#: What parts words: all but letters and digits.
-_BREAK = r"[^\p{L}\p{N}]+"
 _WORD = re.compile(r"[^\W_]+")
 _PARITIES = 56
 _MASK = np.uint64((1 << _PARITIES) - 1)
@@ -38,40 +36,50 @@ def words(text: str) -> set[str]:
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
+    """Pieces of text to the hashes of their words; a bounded cache."""
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) > VOCABULARY:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[piece] = tuple(map(xxhash.xxh3_64_intdigest, _WORD.findall(piece.lower())))
         return h
 
 
 def word_sets(texts: pa.Array, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(base, codes, offsets): the set of text k is base[codes[offsets[k]:offsets[k + 1]]], 64-bit hashes of its distinct words, ascending.
 
-    Words are split and told apart in Arrow, so each word of a batch is lower-cased and hashed once. Null texts have none.
+    Pieces between blanks are split off and told apart in Arrow, so each piece of a batch is taken apart once. Null texts have none.
     """
-    parts = pc.split_pattern_regex(pc.fill_null(texts, ""), pattern=_BREAK)
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     flat = pc.dictionary_encode(parts.flatten())
-    low = [w.lower() for w in flat.dictionary.to_pylist()]
-    n = len(texts)
-    if all(w.isalnum() for w in low if w):
-        row, at = np.repeat(np.arange(n), pc.list_value_length(parts).to_numpy()), flat.indices.to_numpy()
-    else:  # a word that lower case breaks up
-        found = [_WORD.findall(t.lower()) if t else [] for t in texts.to_pylist()]
-        low = sorted({w for f in found for w in f})
-        number = {w: i for i, w in enumerate(low)}
-        row = np.repeat(np.arange(n), [len(f) for f in found])
-        at = np.array([number[w] for f in found for w in f], np.int64)
-    base, same = np.unique(np.array([hashes[w] for w in low], np.uint64), return_inverse=True)
-    real = np.array([w != "" for w in low], bool)[at]
-    key = np.unique(row[real] << 32 | same[at[real]])
-    return base, key & 0xFFFFFFFF, np.searchsorted(key >> 32, np.arange(n + 1))
-
-
-def nodes(tbl: pa.Array, values: np.ndarray, offsets: np.ndarray, hashes: _Hashes) -> np.ndarray:
+    each = [hashes[p] for p in flat.dictionary.to_pylist()]
+    many = np.array([len(x) for x in each], np.int64)
+    base, code = np.unique(np.array([h for x in each for h in x], np.uint64), return_inverse=True)
+    first = np.cumsum(many) - many
+    at = flat.indices.to_numpy()
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy())
+    times = many[at]
+    if (times != 1).any():  # pieces of no or several words
+        row = np.repeat(row, times)
+        ends = np.cumsum(times)
+        place = np.repeat(first[at] - (ends - times), times) + np.arange(ends[-1] if len(ends) else 0)
+    else:
+        place = first[at]
+    key = row << 32 | code[place]
+    key.sort()
+    key = key[np.diff(key, prepend=-1) != 0]
+    return base, key & 0xFFFFFFFF, np.searchsorted(key >> 32, np.arange(len(texts) + 1))
+
+
+def _seed(tbl: str | None) -> int:
+    return xxhash.xxh3_64_intdigest("\n" + str(tbl))
+
+
+def nodes(tbl: pa.Array, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The class of each word set within its table: a 64-bit hash of its words' hashes in order. n distinct sets make a false class with a chance of n**2 / 2**65."""
-    data, at = values.tobytes(), (offsets * 8).tolist()
-    return np.array([xxhash.xxh3_64_intdigest(data[i:j], hashes["\n" + str(t)]) for t, i, j in zip(tbl.to_pylist(), at, at[1:], strict=False)], np.uint64).view(np.int64)
+    data, at, names = values.tobytes(), (offsets * 8).tolist(), tbl.to_pylist()
+    seeds = {t: _seed(t) for t in set(names)}
+    return np.array([xxhash.xxh3_64_intdigest(data[i:j], seeds[t]) for t, i, j in zip(names, at, at[1:], strict=False)], np.uint64).view(np.int64)
 
 
 def _cut_hashes(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -86,7 +94,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, codes, offsets = word_sets(b.column("text"), hashes)
         values = base[codes]
         some = pa.array(np.diff(offsets) > 0)
-        out = [b.column("tbl"), b.column("key"), pa.array(nodes(b.column("tbl"), values, offsets, hashes)), _cut_hashes(values, offsets)]
+        out = [b.column("tbl"), b.column("key"), pa.array(nodes(b.column("tbl"), values, offsets)), _cut_hashes(values, offsets)]
         yield pa.RecordBatch.from_arrays(out, names=["tbl", "key", "node", "packed"]).filter(some)
 
 
@@ -140,7 +148,7 @@ def _banded(rows: int, count: int, parts: int):
         hashes = _Hashes()
         for b in batches:
             base, codes, offsets = word_sets(b.column("text"), hashes)
-            node = nodes(b.column("tbl"), base[codes], offsets, hashes)
+            node = nodes(b.column("tbl"), base[codes], offsets)
             sizes = np.diff(offsets)
             fresh = [k for k, x in enumerate(node.tolist()) if sizes[k] and x not in seen and not (len(seen) < SEEN and seen.add(x))]
             if not fresh:
@@ -149,7 +157,7 @@ def _banded(rows: int, count: int, parts: int):
             ends = np.cumsum(sizes)
             codes = codes[np.repeat(offsets[fresh] - (ends - sizes), sizes) + np.arange(ends[-1])]
             offsets = np.concatenate([[0], ends])
-            salt = np.array([hashes["\n" + str(t)] for t in b.column("tbl").take(pa.array(fresh)).to_pylist()], np.uint64).view(np.int64)
+            salt = np.array([_seed(t) for t in b.column("tbl").take(pa.array(fresh)).to_pylist()], np.uint64).view(np.int64)
             band = bands(placed(base, codes, offsets, rows * count), rows) ^ salt[:, None]
             out = list(_packed_entries(node[fresh], parities(base[codes], offsets), band, parts))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["part", "data"])
@@ -173,26 +181,27 @@ def _ordered(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray
     return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
 
-_PAIRS = "node_a long, node_b long, bucket long, block int, data binary"
+_WORK = "node_a long, node_b long, a binary, b binary"
 
 
 def _pairs(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.int32()), pa.nulls(len(left), pa.binary())], names=["node_a", "node_b", "bucket", "block", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.nulls(len(left), pa.binary()), pa.nulls(len(left), pa.binary())], names=["node_a", "node_b", "a", "b"])
 
 
-def _block(bucket: int, block: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int64()), pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["node_a", "node_b", "bucket", "block", "data"])
+def _work(blocks: list[bytes]) -> pa.RecordBatch:
+    """The last block with each block before, and with itself."""
+    n = len(blocks)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(blocks, pa.binary()), pa.array(blocks[-1:] * n, pa.binary())], names=["node_a", "node_b", "a", "b"])
 
 
 def _bucket_pairs(threshold: float, block: int):
-    """The packed entries of a partition to the pairs of its buckets that fit; of buckets over `block`, to blocks of (node, parity)."""
+    """The packed entries of a partition to the pairs of its buckets that fit; of buckets over `block`, to pairs of blocks of (node, parity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(part, _entries(d)) for b in batches for part, d in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True)]
+        got = [_entries(d) for b in batches for d in b.column("data").to_pylist()]
         if not got:
             return
-        band, node, parity = (np.concatenate([e[k] for _, e in got]) for k in range(3))
-        part = got[0][0]
+        band, node, parity = (np.concatenate([e[k] for e in got]) for k in range(3))
         del got
         order = np.argsort(band, kind="stable")
         band, node, parity = band[order], node[order], parity[order]
@@ -202,9 +211,10 @@ def _bucket_pairs(threshold: float, block: int):
         for k in np.flatnonzero(sizes > block).tolist():
             own, first = np.unique(node[heads[k] : heads[k] + sizes[k]], return_index=True)
             small[heads[k] : heads[k] + sizes[k]] = False
-            bucket = int(np.int64((int(band[heads[k]]) << 20 | part) & 0x7FFFFFFFFFFFFFFF))
+            blocks: list[bytes] = []
             for i in range(0, len(own), block):
-                yield _block(bucket, i // block, own[i : i + block].tobytes() + parity[heads[k] + first[i : i + block]].tobytes())
+                blocks.append(own[i : i + block].tobytes() + parity[heads[k] + first[i : i + block]].tobytes())
+                yield _work(blocks)
         band, node, parity = band[small], node[small], parity[small]
         at, k = np.arange(len(band)), 1
         while len(at):
@@ -218,32 +228,22 @@ def _bucket_pairs(threshold: float, block: int):
     return run
 
 
-def block_pairs(blocks: DataFrame) -> DataFrame:
-    """(a, b, same): the data of each two blocks of a bucket, of blocks (bucket, block, data) numbered from 0; `same` tells that they are one.
-
-    Work for n blocks is spread over tasks by pair: a block is repeated n times, and no task holds a bucket.
-    """
-    n = blocks.groupBy("bucket").agg((F.max("block") + 1).alias("n"))
-    every = salted_join(blocks, n, ["bucket"], "inner")
-    i = F.explode(F.sequence(F.col("block"), F.col("n") - 1)).alias("j")
-    left = every.select("bucket", F.col("block").alias("i"), i, F.col("data").alias("a"))
-    right = every.select("bucket", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("data").alias("b"))
-    return left.join(right, ["bucket", "i", "j"]).select("a", "b", (F.col("i") == F.col("j")).alias("same"))
-
-
-def _crossed(threshold: float):
-    """Pairs of blocks of (node, parity) to the pairs of nodes that fit, by rows of the first."""
+def _compared(threshold: float):
+    """Pairs of nodes as they are, and pairs of blocks of (node, parity) to the pairs of their nodes that fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, same in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("same").to_pylist(), strict=True):
+            ready = batch.filter(pc.is_valid(batch.column("node_a")))
+            yield ready.select(["node_a", "node_b"])
+            blocks = batch.filter(pc.is_null(batch.column("node_a")))
+            for a, b in zip(blocks.column("a").to_pylist(), blocks.column("b").to_pylist(), strict=True):
                 n, m = len(a) // 16, len(b) // 16
                 node = np.concatenate([np.frombuffer(a, np.int64, n), np.frombuffer(b, np.int64, m)])
                 parity = np.concatenate([np.frombuffer(a, np.uint64, n, 8 * n), np.frombuffer(b, np.uint64, m, 8 * m)])
                 for lo in range(0, n, 64):
                     x, y = np.divmod(np.arange(min(64, n - lo) * m), m)
                     x, y = x + lo, y + n
-                    if same:
+                    if a == b:
                         x, y = x[y - n > x], y[y - n > x]
                     fit = _fitting(node, parity, x, y, threshold)
                     if fit.any():
@@ -253,6 +253,11 @@ def _crossed(threshold: float):
     return run
 
 
+def _spread(work: DataFrame, key: str) -> DataFrame:
+    """Work spread over tasks: pairs by `key`, pairs of blocks each by itself."""
+    return work.repartition(F.coalesce(key, F.xxhash64("a", "b")))
+
+
 def candidates(texts: DataFrame, threshold: float = 0.7, rows: int = ROWS, count: int = BANDS, block: int = BLOCK) -> DataFrame:
     """(node_a, node_b), node_a < node_b: different classes of one table that share a bucket and whose sizes and parities allow the threshold.
 
@@ -260,13 +265,13 @@ def candidates(texts: DataFrame, threshold: float = 0.7, rows: int = ROWS, count
     whatever the frequencies of its words; `rows` coordinates make a band and name a bucket. Texts that share only
     common words meet in buckets too; their parities, which never part a pair that reaches the threshold, tell most of
     these from near copies, up to about 100 words. Entries go to their partition packed, a set once for all its bands
-    there. A bucket over `block` is compared in pairs of blocks, spread over tasks; nothing is capped.
+    there. A bucket over `block` is compared in pairs of blocks, spread over tasks; nothing is capped. A task that holds
+    such a bucket keeps 16 bytes for each of its sets.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     banded = texts.select("tbl", "key", "text").mapInArrow(_banded(rows, count, parts), "part int, data binary").repartitionById(parts, "part")
-    found = cut(banded.mapInArrow(_bucket_pairs(threshold, block), _PAIRS))
-    crossed = block_pairs(found.where("block is not null").select("bucket", "block", "data")).mapInArrow(_crossed(threshold), "node_a long, node_b long")
-    return found.where("block is null").select("node_a", "node_b").unionByName(crossed).distinct()
+    found = _spread(banded.mapInArrow(_bucket_pairs(threshold, block), _WORK), "node_a")
+    return found.mapInArrow(_compared(threshold), "node_a long, node_b long").distinct()
 
 
 def _never_null(names: str) -> T.StructType:
@@ -316,61 +321,59 @@ def _checked(threshold: float, names: list[str]):
     return run
 
 
-_COPIES = "tbl string, ka long, kb long, bucket long, block int, data binary"
+_COPIES = "tbl string, ka long, kb long, a binary, b binary"
 
 
 def _copies(size: int):
-    """Batches of records, sorted by class, table, set and key, to the pairs of keys whose sets are equal; of more than `size` keys, to blocks of keys."""
+    """Batches of records, sorted by class, table, set and key, to the pairs of keys whose sets are equal; of more than `size` keys, to pairs of blocks of keys."""
     names = [x.split()[0] for x in _COPIES.split(", ")]
 
-    def rows(tbl: str, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([tbl] * len(a), pa.string()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names=names)
-
-    def block(at: list, number: int, keys: list[int]) -> pa.RecordBatch:
-        bucket = xxhash.xxh3_64_intdigest(at[2], at[0] & 0xFFFFFFFF) >> 1
-        return pa.RecordBatch.from_arrays([pa.array([at[1]], pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int64()), pa.array([number], pa.int32()), pa.array([_of_table(at[1], keys)], pa.binary())], names=names)
-
-    def ended(at: list, blocks: int, keys: list[int]) -> Iterator[pa.RecordBatch]:
-        if blocks:
-            yield block(at, blocks, keys)
-        elif len(keys) > 1:
-            own = np.array(keys, np.int64)
-            for i in range(0, len(own), 512):
-                x, y = np.divmod(np.arange(min(512, len(own) - i) * len(own)), len(own))
-                later = y > x + i
-                yield rows(at[1], own[x[later] + i], own[y[later]])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, blocks = None, [], 0
+        def ended() -> Iterator[pa.RecordBatch]:
+            if blocks and keys:
+                blocks.append(np.array(keys, np.int64).tobytes())
+                yield work()
+            elif len(keys) > 1:
+                own = np.array(keys, np.int64)
+                for i in range(0, len(own), 512):
+                    x, y = np.divmod(np.arange(min(512, len(own) - i) * len(own)), len(own))
+                    later = y > x + i
+                    n = int(later.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array([now[1]] * n, pa.string()), pa.array(own[x[later] + i]), pa.array(own[y[later]]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+
+        def work() -> pa.RecordBatch:
+            n = len(blocks)
+            return pa.RecordBatch.from_arrays([pa.array([now[1]] * n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(blocks, pa.binary()), pa.array(blocks[-1:] * n, pa.binary())], names=names)
+
+        now: list = [None]
+        keys: list[int] = []
+        blocks: list[bytes] = []
         for batch in batches:
             for key, *at in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "tbl", "packed")), strict=True):
                 if at != now:
-                    yield from ended(now, blocks, keys)
-                    now, keys, blocks = at, [key], 0
-                elif key != keys[-1]:
-                    if len(keys) == size:
-                        yield block(now, blocks, keys)
-                        keys, blocks = [], blocks + 1
+                    yield from ended()
+                    now, keys, blocks = at, [key], []
+                elif not keys or key != keys[-1]:
                     keys.append(key)
-        yield from ended(now, blocks, keys)
+                    if len(keys) > size:
+                        blocks.append(np.array(keys[:-1], np.int64).tobytes())
+                        yield work()
+                        keys = keys[-1:]
+        yield from ended()
 
     return run
 
 
-def _of_table(tbl: str, keys: list[int]) -> bytes:
-    name = tbl.encode()
-    return np.int64(len(name)).tobytes() + name + np.array(keys, np.int64).tobytes()
-
-
 def _crossed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks of keys to all pairs of their keys."""
+    """Pairs of keys as they are, and pairs of blocks of keys to all pairs of their keys."""
     for batch in batches:
-        for a, b, same in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("same").to_pylist(), strict=True):
-            n = int(np.frombuffer(a, np.int64, 1)[0])
-            tbl, left, right = a[8 : 8 + n].decode(), np.frombuffer(a, np.int64, -1, 8 + n), np.frombuffer(b, np.int64, -1, 8 + n)
+        yield batch.filter(pc.is_valid(batch.column("ka"))).select(["tbl", "ka", "kb"])
+        blocks = batch.filter(pc.is_null(batch.column("ka")))
+        for tbl, a, b in zip(*(blocks.column(c).to_pylist() for c in ("tbl", "a", "b")), strict=True):
+            left, right = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
             for i in range(0, len(left), 64):
                 x, y = np.divmod(np.arange(min(64, len(left) - i) * len(right)), len(right))
-                keep = y > x + i if same else slice(None)
+                keep = y > x + i if a == b else slice(None)
                 x, y = left[x[keep] + i], right[y[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array([tbl] * len(x), pa.string()), pa.array(x), pa.array(y)], names=["tbl", "ka", "kb"])
 
@@ -400,9 +403,8 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.7, block: int = BLOCK)
     # every column of both sides is used, so that all three readers share one exchange of the records
     both = candidates(texts, threshold, block=block).join(side("a"), "node_a").join(side("b"), "node_b").where("ka <> kb").select("tbl_a", "tbl_b", "ka", "kb", "a", "b")
     linked = both.mapInArrow(_checked(threshold, ["tbl_a", "ka", "kb"]), "tbl_a string, ka long, kb long, similarity double").select(F.col("tbl_a").alias("tbl"), "ka", "kb")
-    same = cut(every.sortWithinPartitions("node", "tbl", "packed", "key").mapInArrow(_copies(block), _COPIES))
-    crossed = block_pairs(same.where("block is not null").select("bucket", "block", "data")).mapInArrow(_crossed_keys, "tbl string, ka long, kb long")
-    pairs = linked.unionByName(same.where("block is null").select("tbl", "ka", "kb")).unionByName(crossed)
+    same = _spread(every.sortWithinPartitions("node", "tbl", "packed", "key").mapInArrow(_copies(block), _COPIES), "ka").mapInArrow(_crossed_keys, "tbl string, ka long, kb long")
+    pairs = linked.unionByName(same)
     return pairs.select("tbl", F.least("ka", "kb").alias("id_a"), F.greatest("ka", "kb").alias("id_b")).distinct()
 
 
