@@ -26,8 +26,8 @@ BLOCK = 4096
 SEEN, VOCABULARY = 500_000, 200_000
 
 _WORD = re.compile(r"[^\W_]+")
-_PARITIES = 56
-_MASK = np.uint64((1 << _PARITIES) - 1)
+_PARITIES, _TOP = 120, np.uint64(56)
+_MASK = np.array([(1 << 64) - 1, (1 << 56) - 1], np.uint64)
 
 
 def words(text: str) -> set[str]:
@@ -107,12 +107,15 @@ def members(texts: DataFrame) -> DataFrame:
 
 
 def parities(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A long for each set of hashes: the parity of the number of its elements in each of 56 classes, and its size, at most 255, in the top byte.
+    """Two longs for each set of hashes: the parity of the number of its elements in each of 120 classes, and its size, at most 255, in the last byte.
 
     Sets whose parities differ in d places differ in at least d elements. Sets must not be empty.
     """
-    bit = np.uint64(1) << ((values >> np.uint64(8)) % np.uint64(_PARITIES))
-    return np.bitwise_xor.reduceat(bit, offsets[:-1]) | np.minimum(np.diff(offsets), 255).astype(np.uint64) << np.uint64(_PARITIES)
+    place = (values >> np.uint64(8)) % np.uint64(_PARITIES)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    out = np.stack([np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == half, bit, np.uint64(0)), offsets[:-1]) for half in (0, 1)], axis=1)
+    out[:, 1] |= np.minimum(np.diff(offsets), 255).astype(np.uint64) << _TOP
+    return out
 
 
 def _packed_entries(node: np.ndarray, parity: np.ndarray, band: np.ndarray, count: int) -> Iterator[tuple[int, bytes]]:
@@ -133,11 +136,11 @@ def _packed_entries(node: np.ndarray, parity: np.ndarray, band: np.ndarray, coun
 def _entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(band, node, parity) of packed entries."""
     n = int(np.frombuffer(data, np.int64, 1)[0])
-    node, parity, times = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.uint64, n, 8 + 8 * n), np.frombuffer(data, np.uint8, n, 8 + 16 * n)
-    tails = np.frombuffer(data, np.uint8, -1, 8 + 17 * n).reshape(-1, TAIL)
+    node, parity, times = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.uint64, 2 * n, 8 + 8 * n).reshape(-1, 2), np.frombuffer(data, np.uint8, n, 8 + 24 * n)
+    tails = np.frombuffer(data, np.uint8, -1, 8 + 25 * n).reshape(-1, TAIL)
     band = np.zeros((len(tails), 8), np.uint8)
     band[:, :TAIL] = tails
-    return band.view(np.uint64).ravel(), np.repeat(node, times), np.repeat(parity, times)
+    return band.view(np.uint64).ravel(), np.repeat(node, times), np.repeat(parity, times, axis=0)
 
 
 def _banded(rows: int, count: int, parts: int):
@@ -171,9 +174,9 @@ def _fitting(node: np.ndarray, parity: np.ndarray, x: np.ndarray, y: np.ndarray,
     Sets of n words in all that reach it differ in at most n (1 - threshold) / (1 + threshold) of them, so in no more parities.
     """
     a, b = parity[x], parity[y]
-    size = (a >> np.uint64(_PARITIES)).astype(np.int64), (b >> np.uint64(_PARITIES)).astype(np.int64)
+    size = (a[:, 1] >> _TOP).astype(np.int64), (b[:, 1] >> _TOP).astype(np.int64)
     low, high = np.minimum(*size), np.maximum(*size)
-    apart = np.bitwise_count((a ^ b) & _MASK)
+    apart = np.bitwise_count((a ^ b) & _MASK).sum(axis=1)
     return (node[x] != node[y]) & ((high == 255) | (low >= high * threshold - 1e-9) & (apart <= (low + high) * ((1 - threshold) / (1 + threshold)) + 1e-6))
 
 
@@ -237,9 +240,9 @@ def _compared(threshold: float):
             yield ready.select(["node_a", "node_b"])
             blocks = batch.filter(pc.is_null(batch.column("node_a")))
             for a, b in zip(blocks.column("a").to_pylist(), blocks.column("b").to_pylist(), strict=True):
-                n, m = len(a) // 16, len(b) // 16
+                n, m = len(a) // 24, len(b) // 24
                 node = np.concatenate([np.frombuffer(a, np.int64, n), np.frombuffer(b, np.int64, m)])
-                parity = np.concatenate([np.frombuffer(a, np.uint64, n, 8 * n), np.frombuffer(b, np.uint64, m, 8 * m)])
+                parity = np.concatenate([np.frombuffer(a, np.uint64, -1, 8 * n), np.frombuffer(b, np.uint64, -1, 8 * m)]).reshape(-1, 2)
                 for lo in range(0, n, 64):
                     x, y = np.divmod(np.arange(min(64, n - lo) * m), m)
                     x, y = x + lo, y + n
@@ -264,9 +267,9 @@ def candidates(texts: DataFrame, threshold: float = 0.7, rows: int = ROWS, count
     The sketches take all words of a set, so the chance of missing a pair of similarity s is (1 - s**rows)**count
     whatever the frequencies of its words; `rows` coordinates make a band and name a bucket. Texts that share only
     common words meet in buckets too; their parities, which never part a pair that reaches the threshold, tell most of
-    these from near copies, up to about 100 words. Entries go to their partition packed, a set once for all its bands
+    these from near copies, up to about 200 words. Entries go to their partition packed, a set once for all its bands
     there. A bucket over `block` is compared in pairs of blocks, spread over tasks; nothing is capped. A task that holds
-    such a bucket keeps 16 bytes for each of its sets.
+    such a bucket keeps 24 bytes for each of its sets.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     banded = texts.select("tbl", "key", "text").mapInArrow(_banded(rows, count, parts), "part int, data binary").repartitionById(parts, "part")
