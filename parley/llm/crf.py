@@ -7,9 +7,16 @@ decoding is Viterbi over batches of sentences. Distinct tokens are looked up onc
 
 from __future__ import annotations
 
+import io
+import json
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import xxhash
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession
+
+from parley.sources.tables import checkpoint_dir
 
 WINDOW = 3
 #: Decoding works on at most so many sentences at once, and so many places when all are padded to the longest; a longer sentence goes alone.
@@ -95,6 +102,18 @@ class Crf:
         self.__dict__.update(state)
         self._start()
 
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez_compressed(out, weights=self.weights, trans=self.trans, index=np.frombuffer(json.dumps(list(self.index)).encode(), np.uint8))
+        return out.getvalue()
+
+    def from_bytes(self, data: bytes) -> Crf:
+        with np.load(io.BytesIO(data), allow_pickle=False) as x:
+            self.weights, self.trans = x["weights"], x["trans"]
+            self.index = {f: i for i, f in enumerate(json.loads(x["index"].tobytes()))}
+        self._start()
+        return self
+
     def code(self, tokens: list[str]) -> np.ndarray:
         """Numbers of the tokens in the table of scores; new ones are added."""
         if self.used > 400_000:
@@ -182,3 +201,25 @@ def _expect(E: np.ndarray, A: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray,
     both = mask[:, 1:]
     pairs = np.einsum("ntk,ntl->kl", f[:, :-1] * both[..., None], e[:, 1:] * b[:, 1:] / scale[:, 1:, None]) * M
     return P, pairs
+
+
+_TRAINED: dict[str, Crf] = {}
+
+
+def stored(spark: SparkSession, name: str, field: Crf, table: Callable[[], list[list[tuple[str, str]]]], steps: int) -> Crf:
+    """The field trained on `table`, kept in this process and, as one row, in the folder that stages share.
+
+    The folder's name tells what the field was trained from: labels, sentences with their features, and steps. A copy
+    that can't be read is trained anew and written again.
+    """
+    sentences = table()
+    words = sorted({t for s in sentences for t, _ in s})
+    key = f"{name}-{xxhash.xxh3_64_hexdigest(json.dumps([field.labels, field.window, steps, sentences, [list(field.features(w)) for w in words]]))}"
+    if key not in _TRAINED:
+        path = f"{checkpoint_dir(spark)}/../models/{key}"
+        try:
+            _TRAINED[key] = field.from_bytes(bytes(spark.read.schema("model binary").parquet(path).first()["model"]))
+        except (AnalysisException, TypeError, ValueError, OSError):
+            _TRAINED[key] = field.fit(sentences, steps=steps)
+            spark.createDataFrame([(_TRAINED[key].to_bytes(),)], "model binary").write.mode("overwrite").parquet(path)
+    return _TRAINED[key]

@@ -1,7 +1,7 @@
 """Personal information in free text: found by a conditional random field, replaced by typed placeholders.
 
-The field is trained on a small labelled table made here from marked sentences and written-out slot values; a call of
-`model()` trains it once for each process. Decoding runs over Arrow batches of whole texts.
+The field is trained on the labelled sentences of `corpus`, filled by rule, and stored in the shared folder.
+Decoding runs over Arrow batches of whole texts.
 """
 
 from __future__ import annotations
@@ -9,13 +9,13 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm.crf import Crf
+from parley.llm import corpus as C
+from parley.llm.crf import Crf, stored
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "STREET_ADDRESS", "PERSON_NAME")
 #: LABEL marks a speaker label at the start of a line, which is no personal information here.
@@ -29,39 +29,37 @@ _TOKEN = re.compile(r"\n|[^\W_]+|[^\w\s]|_")
 _END = re.compile(r"[.?!] +(?=[A-Z(\[*<{])|(?=\n)")
 _SHORT = re.compile(r"(?:\b\w|\b(?:Dr|Mr|Mrs|Ms|Prof|St|Rd|No|Nr)|str)$")
 
-# Usual given names, for training and as a feature.
-GIVEN = """Agnieszka Aisha Alexander Amara Ananya Andrew Anneke Anthony Arjun Beatriz Benjamin Bjarne Camila Chiara Chidi Christopher
-Ciaran Colette Daniel Deborah Edward Eilidh Elizabeth Esteban Fatima Frederick Freya Giulia Gregory Gwen Haruka Henrik Hugo Ingrid
-Jennifer Jiwoo Joseph Katherine Kavita Kenji Kwame Lakshmi Leila Lorenzo Lukas Marek Margaret Matteo Matthew Meera Michael Minh Minji
-Ngozi Nicholas Odile Olga Omar Patricia Pavel Pieter Priya Quentin Rafael Rebecca Rhys Robert Rohan Samantha Sanjay Saskia Siobhan
-Susannah Sven Takeshi Tariq Theodore Thiago Thomas Thuy Timothy Ulrike Valentin Victoria Walburga Wei William Wouter Ximena Xiulan
-Yelena Yumiko Yusuf Zofia Anna John Maria Peter Laura James Sara David Emma Paul Julia Mark Nina Simon Clara Martin Lucia Karl""".split()
-_GIVEN = {g.lower() for g in GIVEN}
+_GIVEN = {g.lower() for g in C.GIVEN}
 # Usual endings of street names.
 _STREETS = {"street", "lane", "road", "rd", "ave", "avenue", "close", "boulevard", "drive", "way", "court", "place", "rue", "calle", "via", "square", "blvd", "st"}
 
 
 def features(token: str) -> list[str]:
-    """What the field sees of a token: the word, its shape, length, ending and a few lists."""
+    """What the field sees of a token: the word unless it is a given name, its shape, length, ending and a few lists."""
     if token == START:
         return ["start"]
     low = token.lower()
     shape = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", re.sub(r"\d", "9", token))
     brief = re.sub(r"(.)\1+", r"\1+", shape)
-    out = ["w=" + low, "b=" + brief]
+    given = low in _GIVEN and low not in C.COMMON
+    out = ["b=" + brief]
+    if not given:  # names are told by being names, not one by one
+        out.append("w=" + low)
     if len(token) <= 12 and any(c.isdigit() for c in token):
         out += ["s=" + shape, "digit"]
+        if token[0] == "0":
+            out.append("zero")
     if token.isdigit():
         out.append(f"n{min(len(token), 12)}")
     if token.isalpha():
         out.append(f"l{min(len(token), 9)}")
-        if len(token) > 3:
-            out += ["e3=" + low[-3:], "e4=" + low[-4:]]
         if token[0].isupper() and len(token) > 1:
             out.append("cap")
             if token.isupper():
                 out.append("allcap")
-        if low in _GIVEN:
+        if low in C.COMMON:
+            out.append("common")
+        elif given:
             out.append("given" + ("C" if token[0].isupper() else ""))
         if low in _STREETS:
             out.append("street")
@@ -86,255 +84,58 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-# The labelled table: marked sentences. Braces name the kind of a slot or a list of words; what stands outside is no personal information.
-_MARKED = """
-Call {PHONE} if the {adj} {noun} stops.
-Leave a message at {PHONE} about {code}.
-The mobile for {place} is {PHONE} now.
-The {noun} hotline moved to {PHONE} {when}.
-The {team} answers on {PHONE} until the {noun} is {done}.
-Please ring {PHONE} or write to {EMAIL}.
-Tel {PHONE}
-Phone: {PHONE}, fax: {PHONE}.
-My number is {PHONE} from {when}.
-Send {thing} to {EMAIL} {when}.
-Please copy {EMAIL} on the {place} {noun}.
-Use {EMAIL} when the {noun} alarm fires.
-Replies go to {EMAIL} and not to {team}.
-The {noun} owner can be reached under {EMAIL} for {code}.
-Write to {EMAIL} about the {adj} {noun}.
-{NAME} asked for {thing} at {EMAIL}.
-A passport with the number {ID} lies with {team}.
-Passport {ID} was left at the {noun}.
-Social security number {ID} was typed into the {place} {noun}.
-Their tax identification is {ID} as noted under {code}.
-Driving licence {ID} belongs to the {noun} courier.
-The {noun} form lists national insurance number {ID} in clear.
-For the permit we copied identity card {ID} into the {noun}.
-The licence number is {ID} and the tax number is {ID}.
-Change the billing address to {ADDR} for {place}.
-Change the billing address to {ADDR}, {town} {zip} for {place}.
-The {team} visits the flat at {ADDR} about the {noun}.
-{Team} visits the flat at {ADDR}, {town} {zip} about the {noun}.
-The spare {noun} is stored at {ADDR} since the move.
-The spare {noun} is stored at {ADDR}, {town} {zip} since the move.
-Deliver the {adj} {noun} to {ADDR} {when}.
-Deliver the {adj} {noun} to {ADDR}, {town} {zip} {when}.
-Our courier waits at {ADDR} with {thing}.
-Our courier waits at {ADDR}, {town} with {thing}.
-She lives at {ADDR}, {town}.
-As far as the {team} knows {NAME} keeps {thing}.
-As far as {team} knows {NAME} keeps {thing}.
-A complaint by {NAME} reached the {place} desk.
-Badge access for {NAME} ends {when}.
-We owe {NAME} a reply on {code}.
-The {noun} was promised to {NAME} {when}.
-Please loop in {NAME} before the {adj} {noun} review.
-Then {NAME} and {NAME} took over the {noun}.
-According to {NAME} the {noun} of {place} is {done}.
-{NAME} will {verb} the {noun} with {NAME}.
-I spoke with {NAME} about {place}.
-{given} will take the minutes.
-{given} and {given} will {verb} the {noun} {when}.
-Thanks {given}, we will {verb} it {when}.
-Order 4500-{d5}-{d2} was split in two.
-Order {d4}-{d5}-{d2} was {done} under {code}.
-Build 20{d2}-0{d1}-1{d1} passed.
-Build 20{d2}-0{d1}-2{d1} passed.
-Meet at street level near dock {d2}.
-Meet at street level near dock {d1}.
-Host 10.{d2}.{d2}.{d3} answers again.
-Host 10.{d2}.{d1}.{d2} answers again.
-Tag it @{noun} in the board.
-We will {verb} the {adj} {noun} and send {thing} to {team} {when}.
-Costs for the {adj} {noun} rose to ${d2},{d3} and {team} noticed.
-Version {d1}.{d2}.{d1} of {place} brings a {adj} {noun} and drops the {noun}.
-Our {noun} now handles {d2} percent of the load while the {adj} {noun} stays {done}.
-Our {noun} now handles {d3} units of the load while the {adj} {noun} stays {done}.
-The {noun} in {place} went from {d3} units to {d2} percent {when}.
-The {adj} {noun} opens at {d2}:{d2} and the {noun} check follows.
-The {noun} of {place} opens at {d1}:{d2} and the {noun} check follows.
-{Team} found {d2} percent of rows in the {place} {noun} wrong.
-{Team} found {d3} units of rows in the {place} {noun} wrong.
-See also {place}, {place} and {code}.
-{place} waits for {code}, {place} does not.
-Linked to {code}, owner side {place}, user side {place}.
-Same batch as {place} and {code}, not {place}.
-This sits next to {code}, {code} and {place}.
-Carried over from {place} to {place} as {code}.
-Filed under {code} with {place} and {place}.
-Traced through {code} and {code} into {place}.
-Before {place} goes live we need {thing} plus a {done} {noun}.
-On the {place} side the {noun} is {done} and {thing} is missing.
-Do you know which {noun} in {place} still uses the {adj} {noun}.
-For {place} the {adj} {noun} was {done}, yet the {adj} {noun} was not.
-There is a risk that the {place} {noun} slips since the {noun} broke.
-It took {team} too long to {verb} the {noun} that feeds {place}.
-Could someone {verb} the {noun} behind {place} while {team} checks {thing}.
-Please {verb} {thing} for ticket {code} and {verb} the {noun} in {place}.
-Under the new plan {team} owns {place} and its {adj} {noun}.
-The decision on {place} stands and the {adj} {noun} gets {done} {when}.
-Somebody in {team} mixed up the {place} {noun} with the {adj} {noun}.
-The budget covers one {adj} {noun} and {d2} percent of the {noun} work.
-Keep {thing} ready, the {adj} {noun} audit of {place} starts {when}.
-If the {noun} fails again, {team} has to {verb} the {adj} {noun} {when}.
-Release {code} depends on the {adj} {noun} and on {thing}.
-That {noun} blocks {code}, so {team} wants it {done} {when}.
-Both the {noun} and the {adj} {noun} were {done} under {code}.
-As agreed with {team}, {code} covers the {noun} and {thing}.
-Nobody may {verb} the {adj} {noun} until {thing} is with {team}.
-Rather than {verb} the {noun}, {team} would {verb} {thing} {when}.
-{Team} asked us to {verb} the {place} {noun} before anyone touches the {adj} {noun}.
-I will {verb} the {noun}, then {verb} the {adj} {noun} of {place} {when}.
-We will {verb} the {adj} {noun} of {place} before the {adj} {noun} review.
-Please {verb} the {noun} in {place} {when}.
-The {adj} {noun} for {place} must be {done} {when} because the {noun} broke (about {d2} of them).
-{PLACE} and {PLACE} use the SAME {noun} as {code}.
-{LABEL} The {adj} {noun} for {place} must be {done} {when}.
-{LABEL} As far as {team} knows {NAME} keeps {thing}.
-{LABEL} Please loop in {NAME} before the {adj} {noun} review.
-{LABEL} Call {PHONE} if the {adj} {noun} stops.
-{LABEL} {NAME} keeps {thing}.
-{LABEL} {Team} found {d2} percent of rows in the {place} {noun} wrong.
-{LABEL} I will {verb} the {noun}, then {verb} the {adj} {noun} of {place} {when}.
-{LABEL} Could someone {verb} the {noun} behind {place} while {team} checks {thing}.
-{LABEL} {place} {noun} keeps its {adj} {noun}.
-{LABEL} A complaint by {NAME} reached the {place} desk.
-{LABEL} {place} waits for {code}, {place} does not.
-""".strip().splitlines()
-
-# Words for the slots of the labelled sentences.
-_WORDS = {
-    "adj": "signed primary remote delayed seasonal layered temporary read-only archived embedded mandatory offline upstream cached legacy modular failing central".split(),
-    "noun": "scanner broker invoice-feed registry threshold connector handbook pallet template migration node tender antenna payload badge-reader rollback survey relay courier label".split(),
-    "verb": "review deploy measure merge encrypt extend trace publish revert document rename split reconcile inspect retire".split(),
-    "done": "reviewed deployed measured merged extended traced published renamed split inspected retired frozen calibrated".split(),
-    "team": "legal|operations|facilities|procurement|the lab|the night crew|the field team|the data office|the finance desk|the audit panel|the harbour depot|the training unit".split("|"),
-    "when": "in late autumn|in the second half|at the end of the shift|by end of day|by close of business|within forty minutes|during the night shift|before the next sprint|before the steering call|after the bank holiday|by Friday|next Tuesday|this quarter|before noon|on Wednesday morning|every other Monday|after the freeze|over the weekend|by the twentieth|early next month|right after lunch|until further notice|within two weeks|before the pilot".split("|"),
-    "thing": "a short memo|the seating plan|two test accounts|the sign-off sheet|a spare key|the old minutes|a clean export|the packing slip|a risk note|three sample files|a list of gaps".split("|"),
-    "filler": "um|uh,|er|erm|uhm|uhh|, hmm,|ummm...|ah,|, mm,|, sort of,|*sighs*|<noise>|[pause 2s]|(laughs)|um|uh|er|, you know,|, I mean,|, kind of,|hmm|[crosstalk]|(coughs)|ummm...|the".split("|"),
-}
-_SYL = "hal vik nub gar mov ral ken sor tar wen pel bra jor lum zel cor dren fos kut nor or pir quen rud sib tel ul val yar hob gim fen ner mar bol cal".split()
-_MID = "el or um and esk ard il ov eth ing ent omb ist ur am az".split()
-_FAMILY = "dale quist ska mere sen vik bek rik stad lund tova nova feld brook bury wick mont mar tal tez van zac don ris kin gora son man ley berg ez ini".split()
-_PLACE = "ile or inge is ux air ondes aka ulle ethur osi ane oa exis iva umo ende imas ox ant".split()
-_TOWN = "stad bury mont quist anner fold brook zac tal mark".split()
-
-
-def _name(r: random.Random) -> str:
-    given, family = r.choice(GIVEN), (r.choice(_SYL) + r.choice(["", r.choice(_MID)]) + r.choice(_FAMILY)).capitalize()
-    if r.random() < 0.07:
-        k = r.randrange(1, len(family) - 1)
-        family = family[:k] + r.choice("øéüåñ") + family[k + 1 :]
-    title = r.choice(["Dr.", "Prof.", "Mr", "Mrs", "Ms", "Dr.", "Mr."])
-    form = r.choice([f"{given} {family}"] * 5 + [f"{family}, {given}"] * 3 + [f"{given[0]}. {family}"] * 3 + [f"{title} {family}"] * 4 + [f"{title} {given} {family}", f"{given} {given[0]}. {family}", f"{family}, {given[0]}."])
-    return form.upper() if r.random() < 0.08 and "." not in form else form
-
-
-def _digits(r: random.Random, n: int) -> str:
-    return "".join(r.choice("0123456789") for _ in range(n))
-
-
-def _filled(r: random.Random, pattern: str) -> str:
-    return re.sub(r"9+", lambda m: _digits(r, len(m[0])), pattern)
-
-
-# Usual forms of telephone and identity numbers; 9 stands for a digit.
-_PHONES = "+33 1 99 99 99 99|(030) 99999999|+1.999.555.0999|+49 30 99999 999|020 7946 0999|999-555-0999|(999) 555-0999|9995550999|9995550999|9999999999|+44 20 7946 0999|0044 20 7946 0999|+1 999 555 0999|01 99 99 99 99|+1-999-555-0999|+49 (0)30 9999999".split("|")
-_IDS = "QQ999999B|999-99-9999|99/999/99999|ZX9999999|9999-9999-9999|X9999999W|999 99 9999|QQ 99 99 99 D|QQ999999A|X9999999G|ZX9999999|X9999999T|9999 9999 9999".split("|")
-
-
-def _email(r: random.Random) -> str:
-    given, family = r.choice(GIVEN).lower(), r.choice(_SYL) + r.choice(["", r.choice(_MID)]) + r.choice(_FAMILY)
-    local = r.choice([f"{given}.{family}", f"{given[0]}{family}", f"{family}.{given[0]}", f"{given}_{family}{_digits(r, 2)}", f"{given}+{r.choice(_WORDS['noun'])}", f"{family}{_digits(r, 3)}", f"{given}.{family}{_digits(r, 1)}", given])
-    host = r.choice(_SYL) + r.choice(_MID) + r.choice(_TOWN) + r.choice(["", "", "-mail"]) + r.choice(["", "", ".co"]) + r.choice([".example", ".test", ".invalid", ".com", ".org"])
-    form = r.random()
-    if form < 0.6:
-        out = f"{local}@{host}"
-        return out.upper() if r.random() < 0.12 else out
-    if form < 0.72:
-        return f"{local} (at) {host}"
-    if form < 0.86:
-        return f"{local}[at]{host.replace('.', '[dot]')}"
-    return f"{local.replace('.', ' dot ').replace('_', ' underscore ').replace('+', ' plus ')} at {host.replace('.', ' dot ')}"
-
-
-def _address(r: random.Random) -> str:
-    stem = r.choice(_SYL).capitalize() + r.choice("gate hurst bridge minster thorpe well water low combe stone".split())
-    n = str(r.randrange(1, 400)) + r.choice(["", "", "", r.choice("abc")])
-    form = r.random()
-    if form < 0.5:
-        return f"{n} {r.choice(['', '', 'North ', 'South '])}{stem} {r.choice(['Street', 'Lane', 'Rd.', 'Ave', 'Close', 'Boulevard', 'Road', 'Drive'])}"
-    if form < 0.75:
-        return f"{stem}{r.choice(['strasse', 'str.', 'weg', 'straße'])} {n}"
-    return f"Calle {stem} {n}" if form < 0.87 else f"{n}, rue {stem}"
-
-
-def _label(r: random.Random) -> str:
-    given, family = r.choice(GIVEN), (r.choice(_SYL) + r.choice(["", r.choice(_MID)]) + r.choice(_FAMILY)).capitalize()
-    who = r.choice([f"{given} {family}", given, f"{given} {family[0]}.", f"SPEAKER_0{r.randrange(9)}", f"{given} {family}"])
-    if r.random() < 0.25:
-        who = who.upper()
-    form = r.choice(["**{}:**", "[{}]:", "({})", ">> {}:", "{} -", "{}:", "**{}**:"]).format(who)
-    time = r.choice(["", "", "", f"[{_digits(r, 2)}:{_digits(r, 2)}] ", f"({_digits(r, 2)}:{_digits(r, 2)}) ", f"<00:{_digits(r, 2)}:{_digits(r, 2)}.{_digits(r, 3)}> ", f"00:{_digits(r, 2)}:{_digits(r, 2)} ", f"00:00:{_digits(r, 2)},{_digits(r, 3)} --> 00:00:{_digits(r, 2)},000\n"])
-    return (time, form) if r.random() < 0.8 else ("", f"{form} {time}")
-
-
-def labelled(n: int = 32, seed: int = 5) -> list[list[tuple[str, str]]]:
-    """The labelled table: n fillings of each marked sentence, as (token, label) lists."""
+_MAKE = {"EMAIL": C.email, "PHONE": C.phone, "ID": C.identity, "ADDR": C.address, "NAME": C.name}
+_KIND = {"EMAIL": "EMAIL", "PHONE": "PHONE", "ID": "ID_NUMBER", "ADDR": "STREET_ADDRESS", "NAME": "PERSON_NAME"}
+# What disturbs spoken sentences, for training.
+_NOISE = "um|uh,|Um,|er|erm|uhm|uhh|, hmm,|hm...|ah,|, mm,|, like,|*laughs*|<cough>|[pause]|(sighs)|[noise]|, well,|, I guess,|...".split("|")
+#: Fillings of each sentence in the labelled table.
+FILLINGS = 18
+STEPS = 120
+
+
+def labelled(n: int = FILLINGS, seed: int = 5, sentences: list[str] = C.MARKED) -> list[list[tuple[str, str]]]:
+    """The labelled table: n fillings of each sentence, half of them disturbed as spoken ones are, as (token, label) lists."""
     r, out = random.Random(seed), []
-    make = {"EMAIL": _email, "PHONE": lambda r: _filled(r, r.choice(_PHONES)), "ID": lambda r: _filled(r, r.choice(_IDS)), "ADDR": _address, "NAME": _name}
-    kind = {"EMAIL": "EMAIL", "PHONE": "PHONE", "ID": "ID_NUMBER", "ADDR": "STREET_ADDRESS", "NAME": "PERSON_NAME"}
-    place = lambda: (r.choice(_SYL) + r.choice(_MID) + r.choice(_PLACE)).capitalize()
-    for line in _MARKED:
+    for line in sentences:
         for _ in range(n):
-            row = [(START, "O")] if r.random() < 0.5 or line.startswith("{LABEL}") else []
-            noisy = r.random() < 0.55
+            row, noisy = [(START, "O")] if r.random() < 0.5 else [], r.random() < 0.5
+            text = line.rstrip(".") + " " + r.choice(sentences) if r.random() < 0.12 else line  # a full stop that wasn't written
             add = lambda text, k=None: row.extend((t, "O" if k is None else ("B-" if i == 0 else "I-") + k) for i, t in enumerate(_TOKEN.findall(text)))  # noqa: E731, B023
-            for piece in re.split(r"(\{\w+\})", line):
-                slot = piece[1:-1] if piece.startswith("{") else None
-                if slot is None:
+            if r.random() < 0.2:
+                row = [(START, "O")]
+                time, form = C.label(r, 0.7)
+                parts = [(time, None), (form, "LABEL")]
+                for text, k in parts if r.random() < 0.8 else parts[::-1]:
+                    add(text, k)
+            for piece in re.split(r"(\{\w+\})", text):
+                kind = piece[1:-1] if piece.startswith("{") else None
+                if kind is None:
                     words = piece.split(" ")
                     for i, w in enumerate(words):
-                        if noisy and i and r.random() < (0.18 if w else 0.45):
-                            add(r.choice([*_WORDS["filler"], words[i - 1], words[i - 1] + ", " + words[i - 1], words[i - 1][:2] + "-"]))
-                        add(w)
-                elif slot in make:
-                    add(make[slot](r), kind[slot])
-                elif slot == "LABEL":
-                    time, form = _label(r)
-                    add(time)
-                    add(form, "LABEL")
-                elif slot in ("place", "PLACE"):
-                    add(place() if slot == "place" else place().upper())
-                elif slot == "town":
-                    add((r.choice(_SYL) + r.choice(_MID) + r.choice(_TOWN)).capitalize())
-                elif slot == "code":
-                    add(r.choice("INC CHG REQ OPS K".split()) + "-" + _digits(r, r.choice([4, 5])))
-                elif slot == "zip":
-                    add(_digits(r, 5))
-                elif slot == "given":
-                    add(r.choice(GIVEN))
-                elif slot == "Team":
-                    t = r.choice(_WORDS["team"])
-                    add(t[0].upper() + t[1:])
-                elif re.fullmatch(r"d\d", slot):
-                    add(r.choice("123456789") + _digits(r, int(slot[1]) - 1))
+                        if noisy and i and r.random() < (0.18 if w else 0.4):
+                            add(r.choice([*_NOISE, words[i - 1], words[i - 1] + ", " + words[i - 1], words[i - 1][:2] + "-"]))
+                        add(C.invented(r, 1, 2).lower() if w.isalpha() and w.islower() and w not in C.COMMON and r.random() < 0.2 else w)
+                elif kind in _MAKE:
+                    add(_MAKE[kind](r), _KIND[kind])
+                elif kind in ("a", "n", "v", "d") and r.random() < 0.4:
+                    add(C.invented(r, 1, 3).lower())
                 else:
-                    add(r.choice(_WORDS[slot]))
+                    filling = C.slot(r, kind)
+                    add(filling)
+                    if noisy and kind in ("cap", "given", "town") and r.random() < 0.25:
+                        add(r.choice([filling, ", " + filling, ", I mean,", ", I guess,", ", you see,"]))
             if r.random() < 0.15:
                 row = row[:-1]
-            if r.random() < 0.05:
+            if r.random() < 0.04:
                 row = [(t.upper(), lab) for t, lab in row]
             if row:
                 out.append(row)
     return out
 
 
-@lru_cache(1)
-def model() -> Crf:
-    """The trained field; the same at every call, as its table and its start are fixed."""
-    return Crf(LABELS, features).fit(labelled(), steps=110)
+def model(spark: SparkSession) -> Crf:
+    """The trained field; the same at every call, as its table and its start are fixed. It is stored in the shared folder."""
+    return stored(spark, "pii", Crf(LABELS, features), labelled, STEPS)
 
 
 #: Small words within or before a surname, in lower case.
@@ -417,6 +218,8 @@ def _checked(text: str, kind: str, i: int, j: int) -> tuple[str, int, int] | Non
             i, j = m.start(), m.end()
             break
     if kind == "PERSON_NAME":
+        while (m := re.match(r"[^\W\d_]+\s+(?=\S)", text[i:j])) and m.group().strip().lower() in C.COMMON - _HONORIFICS:
+            i += m.end()  # a word that begins the sentence
         i, j = _whole_name(text, i, j)
         first = next((k for k in range(i, j) if text[k].isupper()), j)
         i = first - len(m.group()) if (m := _BEFORE.search(text[i:first])) else first
@@ -427,7 +230,7 @@ def _checked(text: str, kind: str, i: int, j: int) -> tuple[str, int, int] | Non
         j += 1
     if kind == "PERSON_NAME" and (_LABELLED.match(text, j) or text[max(0, i - 1) : i] in ("", "\n") and text.startswith(" - ", j)):
         return None
-    if kind == "ID_NUMBER" and _DATE.match(text[i:j]):
+    if kind == "ID_NUMBER" and _DATE.match(text[i:j]) or kind == "PERSON_NAME" and len(set(re.findall(r"\w+", text[i:j].lower()))) == 1:
         return None
     return (kind, i, j) if _SHAPE[kind].match(text[i:j]) else None
 
@@ -442,6 +245,9 @@ def _whole_name(text: str, i: int, j: int) -> tuple[int, int]:
     if m := _BEFORE.search(text[max(0, i - 60) : i]):
         i -= len(m.group())
     piece = text[i:j]
+    if re.match(r"[A-Z]\. [A-Z]", piece) and (m := _FIRST.search(before)) and i == len(text[:i].rstrip()) + 1 and m.group().strip().lower() not in C.COMMON and len(m.group().strip()) > 1:
+        i -= len(m.group())  # a given name before an initial
+        piece = text[i:j]
     if re.search(rf"\s{_PARTICLE}$", piece) or re.fullmatch(r"[^\W\d_]+(?:['’-][^\W\d_]+)+", piece):
         j = m.end() if (m := _REST.match(text, j)) else j
     return i, j
@@ -449,7 +255,7 @@ def _whole_name(text: str, i: int, j: int) -> tuple[int, int]:
 
 def find_pii(df: DataFrame) -> DataFrame:
     """(tbl, row_id, pii_kind, piece) of the texts of df (tbl, row_id, text); null and empty texts have none."""
-    field = model()
+    field = model(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -468,7 +274,7 @@ def find_pii(df: DataFrame) -> DataFrame:
 
 def masked(df: DataFrame) -> DataFrame:
     """df (tbl, row_id, text) with `text` in which each piece is replaced by its kind in brackets; null stays null, the rest is untouched."""
-    field = model()
+    field = model(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,15 +11,14 @@ import random
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.crf import Crf
-from parley.llm.pii import _FAMILY, _MID, _PLACE, _SYL, _WORDS, GIVEN
+from parley.llm import corpus as C
+from parley.llm.crf import Crf, stored
 from parley.operators.skew import salted_join
 from parley.sources.tables import cut
 
@@ -46,12 +45,14 @@ def features(token: str) -> list[str]:
         out.append(f"l{min(len(token), 5)}")
         if low in _HES:
             out.append("hes")
-        elif low in _GIVEN:
-            out.append("given")
+        elif low in _GIVEN and low not in C.COMMON:
+            return [*out[1:], "given"]
+        elif low in C.COMMON:
+            out.append("common")
     return out
 
 
-_HES, _GIVEN = set(HESITATIONS), {g.lower() for g in GIVEN}
+_HES, _GIVEN = set(HESITATIONS), {g.lower() for g in C.GIVEN}
 
 
 def tokens(line: str) -> list[tuple[str, int, int]]:
@@ -65,96 +66,64 @@ def tokens(line: str) -> list[tuple[str, int, int]]:
     return out
 
 
-_SAID = """The {adj} {noun} for {place} must be {done} {when} because the {noun} broke.
-I will {verb} the {noun}, then {verb} the {adj} {noun} of {place} {when}.
-{Team} found {d2} percent of rows in the {place} {noun} wrong.
-{Team} found {d3} units of rows in the {place} {noun} wrong.
-Could someone {verb} the {noun} behind {place} while {team} checks {thing}.
-The {adj} {noun} opens at {d2}:{d2} and the {noun} check follows.
-The {noun} of {place} opens at {d1}:{d2} and the {noun} check follows.
-Costs for the {adj} {noun} rose to ${d2},{d3} and {team} noticed.
-Version {d1}.{d2}.{d1} of {place} brings a {adj} {noun} and drops the {noun}.
-This kind of {noun} needs a {adj} {noun} and somebody from {team}.
-That sort of {noun} is what you know from the {adj} {noun}.
-We know what I mean by the {adj} {noun}.
-As agreed with {team}, {code} covers the {noun} and {thing}.
-Do you know which {noun} in {place} still uses the {adj} {noun}.
-Let us {verb} {thing}, {verb} the {noun} and close {code}.
-{given} will take the minutes.
-As far as {team} knows {given} {place} keeps {thing}.
-The {noun} was promised to {given} {place} {when}.
-Build 20{d2}-0{d1}-1{d1} passed.
-Order 4500-{d5}-{d2} was split in two.
-Call ({d3}) 555-0{d3} if the {adj} {noun} stops.
-Call +44 20 7946 0{d3} if the {adj} {noun} stops.
-Leave a message at (0{d2}) {d5}{d3} about {code}.
-The mobile for {place} is ({d3}) {d3}-0{d3} now.
-Under the new plan {team} owns {place} and its {adj} {noun}, so the {noun} goes live {when}.
-Send {thing} to {low}.{low}@{low}-mail.example {when}.
-Please copy {low}{d3} (at) {low}.test on the {place} {noun}.
-Replies go to {low}[at]{low}[dot]example and not to {team}.
-Social security number QQ {d2} {d2} {d2} B was typed into the {place} {noun}.
-Host 10.{d2}.{d2}.{d3} answers again.
-Tag it @{noun} in the board.
-Our {noun} now handles {d2} percent of the load while the {adj} {noun} stays {done} (about {d2} of them).
-Keep {thing} ready, the {adj} {noun} audit of {place} starts {when} (about {d1} of them).
-For {place} the {adj} {noun} was {done}, yet the {adj} {noun} was not (as we said before).
-Rather than {verb} the {noun}, {team} would {verb} {thing} {when}.
-Deliver the {adj} {noun} to {d3} {place} Street, {place} {d5} {when}.
-Meet at street level near dock {d2}.
-We met at {d2}:{d2} and again at {d1}:{d2} {when}.""".splitlines()
-
-
-def labelled(n: int = 45, seed: int = 11) -> list[list[tuple[str, str]]]:
+#: Sentences in which what sounds like a filler or looks like a mark is spoken.
+SAID = """That kind of {n} is {d} in a sort of {a} way.
+We do well when you know what I mean.
+You know well that I mean the {a} {n}.
+Do you know what they mean by {cap}?
+It looks like {cap}, like {cap} and like a {n}.
+Well water is {a}, well cooked {n} is not.
+The {n} opens at {clock} and shuts at {clock}.
+See you at {clock} or at {clock} {t}.
+{clock} is too early, {clock} too late.
+He came ({num} minutes late) and {d} it.
+The {n} (as everybody can see) is {a}.
+All of them, about {num} (or {num}), were {d}.
+It is {d} (we hope) {t}.
+The {n}, {g} and a {a}, {a} {n} were {d}.
+A {a}-{a} {n} needs {x}.
+I will {v} it, {v} it and {v} it {t}.
+Edition {ver} of the {n} is {a}.
+With {ver} and {ver} the {n} was {d}.
+The {n}-{n} and the {a} {n}-{n} of {cap} are {d}.
+A {n}-{n} by {g} is {a}.
+This kind of {n} and this sort of {n} like {cap}.
+Is the {n} on {date}, or on {date}?""".splitlines()
+OFTEN = "in out up off on by over to only end half".split()
+#: Noisy lines of each sentence in the labelled table.
+LINES, STEPS = 18, 110
+_FILL = {"PHONE": C.phone, "EMAIL": C.email, "ID": C.identity, "ADDR": C.address, "NAME": C.name}
+
+
+def labelled(n: int = LINES, seed: int = 11, sentences: list[str] = [*C.MARKED, *SAID * 5]) -> list[list[tuple[str, str]]]:  # noqa: B006
     """The labelled table: n noisy lines of each sentence, as (token, tag) lists."""
     r, out = random.Random(seed), []
-    dig = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    place = lambda: (r.choice(_SYL) + r.choice(_MID) + r.choice([*_PLACE, *_FAMILY])).capitalize()
-
-    def slot(m: re.Match) -> str:
-        s = m[1]
-        if s == "place":
-            return place()
-        if s == "code":
-            return r.choice("INC CHG REQ OPS K".split()) + "-" + dig(r.choice([4, 5]))
-        if s == "given":
-            return r.choice(GIVEN)
-        if s == "low":
-            return place().lower()
-        if s == "Team":
-            return r.choice(_WORDS["team"]).capitalize()
-        if re.fullmatch(r"d\d", s):
-            return r.choice("123456789") + dig(int(s[1]) - 1)
-        return r.choice(_WORDS[s])
 
-    def sound() -> str:
-        form = r.choice(["[{}]", "<{}>", "*{}*", "({})", "{{{}}}", "(({}))"])
-        return form.format(r.choice(SOUNDS))
+    def said(line: str) -> str:
+        return re.sub(r"\{(\w+)\}", lambda m: _FILL[m[1]](r) if m[1] in _FILL else compound() if m[1] in "an" and r.random() < 0.1 else C.invented(r, 1, 3).lower() if m[1] in "anvd" and r.random() < 0.4 else C.slot(r, m[1]), line)
 
-    def time() -> str:
-        h, m, s = dig(2), dig(2), dig(2)
-        return r.choice([f"<{h}:{m}:{s}.{dig(3)}>", f"[{m}:{s} - {m}:{s}]", f"({m}:{s})", f"[{h}:{m}:{s}]", f"[{dig(1)}:{s}]", f"[{m}:{s}]", f"{h}:{m}:{s}", f"{h}:{m}:{s},{dig(3)} --> {h}:{m}:{s},000"])
+    def compound() -> str:
+        return "-".join(r.choice([C.invented(r, 1, 2).lower(), r.choice(C.WORDS["n"]), r.choice(OFTEN)]) for _ in range(2))
 
-    def label() -> str:
-        given, family = r.choice(GIVEN), place()
-        who = r.choice([f"{given} {family}", given, given, f"{given} {family[0]}.", f"SPEAKER_0{r.randrange(9)}", f"SPEAKER_0{r.randrange(9)}", f"Speaker {r.randrange(9)}"])
-        who = who.upper() if r.random() < 0.25 else who
-        return r.choice(["**{}:**", "[{}]:", "({})", ">> {}:", "{} - ", "{}:", "**{}**:"]).format(who)
+    def sound() -> str:
+        form = r.choice(["[{}]", "<{}>", "*{}*", "({})", "{{{}}}", "(({}))"])
+        return form.format(r.choice(SOUNDS) if r.random() < 0.8 else C.invented(r).lower())
 
-    for line in _SAID:
+    for line in sentences:
         for _ in range(n):
             row, first = [(START, "SPEECH")], True
             add = lambda text, tag: row.extend((t, ("B-" if tag == "LABEL" and not i else "I-" if tag == "LABEL" else "") + tag) for i, (t, _, _) in enumerate(tokens(text)[1:]))  # noqa: E731, B023
             if r.random() < 0.45:
-                add(time(), "TIME")
+                add(C.stamp(r), "TIME")
             if r.random() < 0.55:
-                add(label(), "LABEL")
+                form = C.label(r, 0.35)[1]
+                add(form + (" " if form[-1] == "-" else ""), "LABEL")
                 if r.random() < 0.2:
-                    add(time(), "TIME")
+                    add(C.stamp(r), "TIME")
             noise = r.choice([0, 0.05, 0.12, 0.2])
-            sentence = re.sub(r"\{(\w+)\}", slot, line)
+            sentence = said(line)
             if r.random() < 0.25:
-                sentence += " " + re.sub(r"\{(\w+)\}", slot, r.choice(_SAID))
+                sentence = sentence.rstrip("." if r.random() < 0.3 else "") + " " + said(r.choice(sentences))
             for w in sentence.split(" "):
                 if r.random() < noise:
                     k = r.random()
@@ -180,19 +149,18 @@ def labelled(n: int = 45, seed: int = 11) -> list[list[tuple[str, str]]]:
             if r.random() < 0.05:
                 row = row[:2]
             out.append(row)
-    for _ in range(n * 3):
+    for _ in range(n * 8):
         row = [(START, "SPEECH")]
         if r.random() < 0.4:
-            row += [(t, "TIME") for t, _, _ in tokens(time())[1:]]
+            row += [(t, "TIME") for t, _, _ in tokens(C.stamp(r))[1:]]
         row += [(t, "NOISE") for t, _, _ in tokens(sound())[1:]] if r.random() < 0.6 else [(t, "FILLER") for t, _, _ in tokens("uh, er")[1:]]
         out.append(row)
     return out
 
 
-@lru_cache(1)
-def model() -> Crf:
-    """The trained field."""
-    return Crf(LABELS, features, window=3).fit(labelled(), steps=90)
+def model(spark: SparkSession) -> Crf:
+    """The trained field, stored in the shared folder."""
+    return stored(spark, "turns", Crf(LABELS, features, window=3), labelled, STEPS)
 
 
 _TAG = {x: i for i, x in enumerate(LABELS)}
@@ -302,9 +270,9 @@ def segments(df: DataFrame) -> DataFrame:
 
     A statement gives a segment for each speaker label in its text, and one for what stands before. `who` is the normal
     label, that in the text before that of the column; '' is none. `shown` is the other one of the two where one is a
-    machine's label, else ''. Repeated statements count once; null texts have no words.
+    machine's label, else ''. Of a statement delivered several times the greatest text counts; null texts have no words.
     """
-    field = model()
+    field = model(df.sparkSession)
     names = ["meeting_id", "turn_idx", "stmt_id", "seg", "who", "shown", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +308,7 @@ def segments(df: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
-    rows = df.select("meeting_id", F.col("turn_idx").cast("int").alias("turn_idx"), "stmt_id", "speaker", "raw_text").dropDuplicates(["meeting_id", "stmt_id", "turn_idx"])
+    rows = df.groupBy("meeting_id", F.col("turn_idx").cast("int").alias("turn_idx"), "stmt_id").agg(F.max(F.struct("raw_text", "speaker")).alias("r")).select("meeting_id", "turn_idx", "stmt_id", "r.speaker", "r.raw_text")
     return rows.mapInArrow(run, "meeting_id long, turn_idx int, stmt_id long, seg int, who string, shown string, words string")
 
 
@@ -351,14 +319,18 @@ def speakers(segs: DataFrame, roster: DataFrame) -> DataFrame:
     label means the person most often shown beside it. Labels that fit nobody, or several, are left out.
     roster: (entity_kind, full_name).
     """
-    norm = F.udf(normal, "string")  # a few rows
-    people = roster.where("entity_kind = 'person'").select(F.col("full_name").alias("speaker"), norm("full_name").alias("full")).where("full <> ''").distinct()
-    pairs = segs.groupBy("meeting_id", "who", "shown").agg(F.count("*").alias("n"))
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("full_name"), pa.array([normal(x) for x in b.column("full_name").to_pylist()], pa.string())], names=["speaker", "full"])
+
+    people = roster.where("entity_kind = 'person' and full_name is not null").select("full_name").distinct().mapInArrow(folded, "speaker string, full string").where("full <> ''")
+    pairs = cut(segs.groupBy("meeting_id", "who", "shown").agg(F.count("*").alias("n")))  # a row for each label of a meeting, read three times
     labels = pairs.select("meeting_id", "who").unionByName(pairs.select("meeting_id", F.col("shown").alias("who"))).where("who <> ''").distinct()
     present = labels.join(people, F.col("who") == F.col("full")).select("meeting_id", "speaker", "full")
     first, last = F.split("full", " ")[0], F.element_at(F.split("full", " "), -1)
     forms = present.select("meeting_id", "speaker", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.col("full").alias("who")), F.struct(F.lit(1).alias("rank"), first.alias("who")), F.struct(F.lit(1).alias("rank"), F.concat_ws(" ", first, F.substring(last, 1, 1)).alias("who")), F.struct(F.lit(1).alias("rank"), last.alias("who")))).alias("f"))
-    named = forms.select("meeting_id", "speaker", "f.who").groupBy("meeting_id", "who").agg(F.min("speaker").alias("speaker"), F.max("speaker").alias("other")).where("speaker = other").drop("other")
+    named = cut(forms.select("meeting_id", "speaker", "f.who").groupBy("meeting_id", "who").agg(F.min("speaker").alias("speaker"), F.max("speaker").alias("other")).where("speaker = other").drop("other"))
     # beside a machine's label stands a name, in the text or in the column
     beside = pairs.where("shown <> ''")
     is_machine = F.col("who").rlike(r"^(speaker|spk|person|participant)( ?(\d+|[a-z]))?$")

@@ -4,60 +4,104 @@ import base64
 import email
 import quopri
 import random
+import re
 import tracemalloc
 
 import numpy as np
 import pytest
 
-from parley.llm import leaks, mail, pii, spam, turns
+from parley.llm import corpus, crf, leaks, mail, pii, spam, turns
 from parley.llm.crf import Crf
 
 ST = "meeting_id long, turn_idx int, stmt_id long, speaker string, raw_text string"
 
 
 def test_viterbi_finds_the_best_path():
-    crf = Crf(["O", "A", "B"], lambda t: ["w=" + t]).fit([[("x", "O"), ("a", "A"), ("b", "B")], [("x", "O"), ("x", "O")], [("a", "A"), ("b", "B"), ("x", "O")]] * 4, steps=40, least=1)
+    field = Crf(["O", "A", "B"], lambda t: ["w=" + t]).fit([[("x", "O"), ("a", "A"), ("b", "B")], [("x", "O"), ("x", "O")], [("a", "A"), ("b", "B"), ("x", "O")]] * 4, steps=40, least=1)
     toks = "x a b x a x b".split()
-    lab = crf.decode(toks, np.array([4, 3]))
-    w = crf.window
+    lab = field.decode(toks, np.array([4, 3]))
+    w = field.window
     best = []
     for sent in (toks[:4], toks[4:]):
-        code = [0] * w + crf.code(sent).tolist() + [0] * w
-        E = np.array([sum(crf.table[code[i + o], o] for o in range(2 * w + 1)) for i in range(len(sent))])
-        paths = [(sum(E[i, p[i]] for i in range(len(sent))) + sum(crf.trans[p[i], p[i + 1]] for i in range(len(sent) - 1)), p) for p in np.ndindex(*[3] * len(sent))]
+        code = [0] * w + field.code(sent).tolist() + [0] * w
+        E = np.array([sum(field.table[code[i + o], o] for o in range(2 * w + 1)) for i in range(len(sent))])
+        paths = [(sum(E[i, p[i]] for i in range(len(sent))) + sum(field.trans[p[i], p[i + 1]] for i in range(len(sent) - 1)), p) for p in np.ndindex(*[3] * len(sent))]
         best += max(paths)[1]
     assert lab.tolist() == best
-    assert crf.decode([], np.array([], int)).tolist() == []
+    assert field.decode([], np.array([], int)).tolist() == []
 
 
 def test_a_long_sentence_does_not_pad_the_short_ones():
-    crf = Crf(["O", "A", "B"], lambda t: ["w=" + t]).fit([[("x", "O"), ("a", "A"), ("b", "B")], [("x", "O"), ("x", "O")]] * 4, steps=40, least=1)
+    field = Crf(["O", "A", "B"], lambda t: ["w=" + t]).fit([[("x", "O"), ("a", "A"), ("b", "B")], [("x", "O"), ("x", "O")]] * 4, steps=40, least=1)
     long, toks = ["x", "a", "b"] * 1000, ["a", "b"] * 3999
-    apart = crf.decode(toks, np.full(3999, 2)).tolist() + crf.decode(long, np.array([3000])).tolist()
+    apart = field.decode(toks, np.full(3999, 2)).tolist() + field.decode(long, np.array([3000])).tolist()
     tracemalloc.start()
-    together = crf.decode(toks + long, np.array([2] * 3999 + [3000])).tolist()
+    together = field.decode(toks + long, np.array([2] * 3999 + [3000])).tolist()
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert together == apart and peak < 1e8
 
 
 @pytest.fixture(scope="module")
-def field():
-    return pii.model()
+def field(spark):
+    return pii.model(spark)
 
 
-def test_pii_on_held_out_sentences(field):
-    hits = total = found = 0
-    for sent in pii.labelled(1, seed=99):
+def test_models_are_stored(spark, field):
+    again = Crf(pii.LABELS, pii.features).from_bytes(field.to_bytes())
+    toks = "Give it to Dr. Berg now".split()
+    assert again.decode(toks, np.array([6])).tolist() == field.decode(toks, np.array([6])).tolist()
+    crf._TRAINED.clear()
+    assert pii.model(spark).index == field.index  # read back
+
+
+KEPT, HELD = [[x for i, x in enumerate(corpus.MARKED) if (i % 6 == 0) == held] for held in (False, True)]
+
+
+def test_pii_in_sentences_of_other_frames():
+    """The frames of the test aren't those of the training; recall and precision of whole pieces, by the field alone and with its checks."""
+    field = Crf(pii.LABELS, pii.features).fit(pii.labelled(sentences=KEPT), steps=pii.STEPS)
+    alone, checked = [0, 0, 0], [0, 0, 0]
+    for sent in pii.labelled(12, seed=99, sentences=HELD):
+        toks = [t for t, _ in sent]
+        pieces = [set(), set()]
+        for k, tags in enumerate(([pii.LABELS[i] for i in field.decode(toks, np.array([len(toks)]))], [x for _, x in sent])):
+            i = 0
+            while i < len(tags):
+                j = i + 1
+                if tags[i] != "O" and "LABEL" not in tags[i]:
+                    while j < len(tags) and tags[j] == "I" + tags[i][1:]:
+                        j += 1
+                    pieces[k].add((tags[i][2:], i, j))
+                i = j
+        for n, x in enumerate((pieces[0] & pieces[1], pieces[1], pieces[0])):
+            alone[n] += len(x)
+    r = random.Random(3)
+    for line in HELD * 12:
+        want, text = set(), ""
+        for piece in re.split(r"(\{\w+\})", line):
+            kind = piece[1:-1] if piece.startswith("{") else None
+            filling = piece if kind is None else pii._MAKE[kind](r) if kind in pii._MAKE else corpus.slot(r, kind)
+            if kind in pii._MAKE:
+                want.add((pii._KIND[kind], len(text), len(text) + len(filling)))
+            text += filling
+        got = set(pii.found_in([text], field)[0])
+        for n, x in enumerate((got & want, want, got)):
+            checked[n] += len(x)
+    print("field alone, recall and precision:", alone[0] / alone[1], alone[0] / alone[2], "with checks:", checked[0] / checked[1], checked[0] / checked[2])
+    assert min(checked[0] / checked[1], checked[0] / checked[2]) > 0.85 and min(alone[0] / alone[1], alone[0] / alone[2]) > 0.75
+
+
+def test_tags_in_sentences_of_other_frames():
+    field = Crf(turns.LABELS, turns.features).fit(turns.labelled(sentences=[*KEPT, *turns.SAID * 5]), steps=turns.STEPS)
+    right = total = lines = whole = 0
+    for sent in turns.labelled(10, seed=99, sentences=HELD):
         toks = [t for t, _ in sent]
-        lab = field.decode(toks, np.array([len(toks)]))
-        gold = [x for _, x in sent]
-        for a, b in zip([pii.LABELS[i] for i in lab], gold, strict=True):
-            if "LABEL" not in a + b:
-                found += a != "O"
-                total += b != "O"
-                hits += a == b and a != "O"
-    assert hits / total > 0.95 and hits / found > 0.95
+        tags = [turns.LABELS[i] for i in field.decode(toks, np.array([len(toks)]))]
+        same = [a == b or not any(c.isalnum() for c in t) for t, a, b in zip(toks, tags, [x for _, x in sent], strict=True)]
+        right, total, whole, lines = right + sum(same), total + len(same), whole + all(same), lines + 1
+    print("tags right:", right / total, "lines right:", whole / lines)
+    assert right / total > 0.97
 
 
 @pytest.mark.parametrize(
