@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.skew import salted_join
+from parley.sources.tables import cut
 
-#: Pivots, and typed names that a task compares at once.
+#: Pivots; typed names, and forms of the roster, that a task compares at once.
 PIVOTS, TASK = 16, 4000
+#: Forms, by the order of a hash, of which the pivots are chosen; all forms are placed and joined.
+SAMPLE = 5000
 #: Greatest radius; short forms have a smaller one, see radius().
 RADIUS = 2
-#: Forms are fitted to the driver, as a roster is a list of people and organisations kept by hand.
-MAX_FORMS = 2_000_000
-
 # Usual short forms of given names.
 _SHORT = """alexander: alex sandy xander lex; andrew: andy drew; anthony: tony; benjamin: ben benny; christopher: chris kit topher;
 daniel: dan danny; deborah: deb debbie debby; edward: ed eddie ned ted teddy; elizabeth: liz lizzie beth betty eliza lisa;
@@ -51,7 +51,7 @@ def folded(text: str) -> str:
 
 
 def cleaned(typed: str | None) -> str:
-    """The words of a typed name without remarks: '' if there are none.
+    """The words of a typed name, of any script, without remarks: '' if there are none.
 
     Remarks stand in brackets, behind a slash or a dash between blanks, or behind a comma that follows two words or more.
     """
@@ -64,7 +64,7 @@ def cleaned(typed: str | None) -> str:
     if comma and len(head.split()) > 1 and not any(w.replace(".", "") in LEGAL for w in low.split()):
         text = head
     low = folded(text).replace("b.v", "bv").replace("s.a.r.l", "sarl").replace("&", " ")
-    words = re.findall(r"[a-z]+", low)
+    words = re.findall(r"[^\W\d_]+", low)
     if words and words[0] == "the":
         words = words[1:]
     words = [w for w in words if w != "and"]
@@ -129,12 +129,20 @@ def radius(form: str) -> int:
     return 2 if n >= 10 else 1 if n >= 6 else 0
 
 
-def coded(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters as numbers, padded, and lengths."""
+def alphabet() -> dict[int, int]:
+    """Code points to small numbers; coded() adds those that it meets."""
+    return {ord(c): k for k, c in enumerate(_LETTERS, 1)}
+
+
+def coded(names: list[str], letters: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Letters as numbers, padded with 0, and lengths. Names to be compared take one alphabet."""
+    letters = alphabet() if letters is None else letters
     size = np.array([len(x) for x in names], np.int64)
-    out = np.zeros((len(names), max(1, int(size.max(initial=1)))), np.int8)
-    for k, x in enumerate(names):
-        out[k, : len(x)] = [_LETTERS.find(c) + 1 for c in x]
+    out = np.zeros((len(names), max(1, int(size.max(initial=1)))), np.int16)
+    kinds, at = np.unique(np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    numbers = np.array([letters.setdefault(c, len(letters) + 1) for c in kinds.tolist()], np.int16)
+    if len(at):
+        out[np.arange(out.shape[1]) < size[:, None]] = numbers[at]
     return out, size
 
 
@@ -146,7 +154,7 @@ def distances(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> n
     D = np.full((n, la + 2, lb + 2), far, np.int16)
     D[:, 1, 1:] = np.arange(lb + 1)
     D[:, 1:, 1] = np.arange(la + 1)
-    last = np.zeros((n, len(_LETTERS) + 2), np.int16)  # row in which a letter stood last
+    last = np.zeros((n, 1 + max(a.max(initial=0), b.max(initial=0))), np.int16)  # row in which a letter stood last
     for i in range(1, la + 1):
         match = np.zeros(n, np.int64)  # column of the last match in this row
         for j in range(1, lb + 1):
@@ -162,8 +170,9 @@ def distances(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> n
 
 def _to_pivots(names: list[str], pivots: list[str]) -> np.ndarray:
     """Distances [names, pivots]."""
-    a, na = coded(names)
-    b, nb = coded(pivots)
+    letters = alphabet()
+    a, na = coded(names, letters)
+    b, nb = coded(pivots, letters)
     out = np.zeros((len(names), len(pivots)), np.int16)
     for lo in range(0, len(names), 5000):
         x, nx = a[lo : lo + 5000], na[lo : lo + 5000]
@@ -190,12 +199,13 @@ def within(queries: pd.DataFrame, forms: pd.DataFrame) -> pd.DataFrame:
     out = []
     if len(queries) and len(forms):
         names, texts = queries["name"].tolist(), forms["form"].tolist()
-        a, na = coded(names)
-        b, nb = coded(texts)
+        letters = alphabet()
+        a, na = coded(names, letters)
+        b, nb = coded(texts, letters)
         va = np.stack([np.frombuffer(v, np.int8) for v in queries["v"]]).astype(np.int16)
         vb = np.stack([np.frombuffer(v, np.int8) for v in forms["v"]]).astype(np.int16)
         most = forms["most"].to_numpy().astype(np.int16)
-        bag = lambda x: np.stack([(x == c).sum(axis=1) for c in range(1, len(_LETTERS) + 1)], axis=1).astype(np.int16)
+        bag = lambda x: np.stack([(x == c).sum(axis=1) for c in range(1, len(letters) + 1)], axis=1).astype(np.int16)
         ba, bb = bag(a), bag(b)
         for lo in range(0, len(names), 400):
             q = slice(lo, lo + 400)
@@ -213,26 +223,36 @@ def within(queries: pd.DataFrame, forms: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"name": pd.Series(dtype=str), "entity_id": pd.Series(dtype="int64"), "d": pd.Series(dtype="int32")})
 
 
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = [(form, e, most) for e, kind, name in zip(*(b.column(c).to_pylist() for c in ("entity_id", "entity_kind", "full_name")), strict=True) for form, most in forms_of(kind, name).items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32()))], names=["form", "entity_id", "most"])
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        given = b.column("typed").to_pylist()
+        yield pa.RecordBatch.from_arrays([b.column("typed"), pa.array([cleaned(t) for t in given], pa.string())], names=["typed", "name"])
+
+
+def _split(rows: DataFrame, counts: DataFrame, own: str, other: str, task: int, by: str) -> DataFrame:
+    """rows with the parts of their cell on both sides: spread over as many as hold `task` rows each, and repeated for those of the other side."""
+    parts = lambda c: F.ceil(F.coalesce(c, F.lit(0)) / task).cast("int")
+    sized = rows.join(F.broadcast(counts.select("cell", parts(own).alias("mine"), parts(other).alias("theirs"))), "cell").where("theirs > 0")
+    return sized.withColumn(f"part_{own}", F.pmod(F.hash(by), "mine")).withColumn(f"part_{other}", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1))).drop("mine", "theirs")
+
+
 def resolved(typed: DataFrame, roster: DataFrame, count: int = PIVOTS, task: int = TASK) -> DataFrame:
     """(typed, entity_id): the typed names (typed) that mean exactly one roster entry (entity_id, entity_kind, full_name).
 
     The nearest entry counts; a name as near to several, or within no form's radius, is left out, as are null and empty
-    names. An entry listed twice under one id is one entry. Neither side is broadcast by the join: names are spread over
-    cells and, within a cell, over tasks of about `task` names, for which the cell's forms are repeated.
+    names. An entry listed twice under one id is one entry. Forms are made and placed by tasks; the driver sees a sample
+    of SAMPLE forms, of which it takes the pivots, and the sizes of the cells. Within a cell both sides are split into
+    parts of about `task`, and each part of one meets each of the other in a task, so no cell is gathered.
     """
-    spark = typed.sparkSession
-    entries = roster.where("full_name is not null").select("entity_id", "entity_kind", "full_name").distinct().toLocalIterator()
-    forms = [(form, e["entity_id"], most) for e in entries for form, most in forms_of(e["entity_kind"], e["full_name"]).items()]
-    if len(forms) > MAX_FORMS:
-        raise ValueError(f"the roster has {len(forms)} forms; the driver takes {MAX_FORMS}")
-    pivots = pivots_of(list({f for f, _, _ in forms})[:20_000], count)
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            given = b.column("typed").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("typed"), pa.array([cleaned(t) for t in given], pa.string())], names=["typed", "name"])
-
-    names = typed.select("typed").where("typed is not null").distinct().mapInArrow(clean, "typed string, name string").where("name <> ''")
+    entries = roster.where("full_name is not null").select("entity_id", "entity_kind", "full_name").distinct()
+    forms = entries.mapInArrow(_forms, "form string, entity_id long, most int").groupBy("form", "entity_id").agg(F.max("most").alias("most"))
+    pivots = pivots_of([r[0] for r in forms.select("form").distinct().orderBy(F.xxhash64("form"), "form").limit(SAMPLE).collect()], count)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,20 +260,25 @@ def resolved(typed: DataFrame, roster: DataFrame, count: int = PIVOTS, task: int
                 v = _to_pivots(b.column("name").to_pylist(), pivots)
                 yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(v.argmin(axis=1).astype(np.int32)), pa.array([x.tobytes() for x in v], pa.binary())], names=["name", "cell", "v"])
 
-    alone = names.select("name").distinct()
-    tasks = max(1, alone.count() // (task * len(pivots)))
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = _to_pivots(b.column("form").to_pylist(), pivots)
+                row, cell = np.nonzero(v <= v.min(axis=1, keepdims=True) + 2 * np.asarray(b.column("most"))[:, None])
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("form", "entity_id", "most")), pa.array([v[k].tobytes() for k in row], pa.binary()), pa.array(cell.astype(np.int32))], names=["form", "entity_id", "most", "v", "cell"])
+
+    names = typed.select("typed").where("typed is not null").distinct().mapInArrow(_cleaned, "typed string, name string").where("name <> ''")
     # few bytes but much work: a fixed number of partitions isn't coalesced
-    spread = max(spark.sparkContext.defaultParallelism, min(10_000, tasks * len(pivots)))
-    queries = alone.repartition(spread, "name").mapInArrow(placed, "name string, cell int, v binary")
-    queries = queries.withColumn("part", F.pmod(F.hash("name"), F.lit(tasks)))
-    texts = [f for f, _, _ in forms]
-    v = _to_pivots(texts, pivots) if texts else np.zeros((0, len(pivots)), np.int8)
-    rows = []
-    for (form, entity, most), x in zip(forms, v, strict=True):
-        rows += [(form, entity, most, x.tobytes(), int(c)) for c in np.flatnonzero(x <= x.min() + 2 * most)]
-    right = spark.createDataFrame(rows, "form string, entity_id long, most int, v binary, cell int").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    queries, right = queries.repartition(spread, "cell", "part"), right.repartition(spread, "cell", "part")
-    hits = queries.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(within, "name string, entity_id long, d int")
+    spread = typed.sparkSession.sparkContext.defaultParallelism * 2
+    queries = cut(names.select("name").distinct().repartition(spread, "name").mapInArrow(placed, "name string, cell int, v binary"))
+    right = cut(forms.repartition(spread, "form").mapInArrow(reached, "form string, entity_id long, most int, v binary, cell int"))
+    counts = cut(queries.groupBy("cell").agg(F.count("*").alias("q")).join(right.groupBy("cell").agg(F.count("*").alias("f")), "cell", "full"))  # a row for each pivot
+    left = _split(queries, counts, "q", "f", task, "name")
+    other = _split(right, counts, "f", "q", task, "form")
+    keys = ["cell", "part_q", "part_f"]
+    left, other = left.repartition(2 * spread, *keys), other.repartition(2 * spread, *keys)
+    hits = left.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInPandas(within, "name string, entity_id long, d int")
     near = hits.groupBy("name", "entity_id").agg(F.min("d").alias("d")).groupBy("name").agg(F.min_by("entity_id", "d").alias("entity_id"), F.min("d").alias("d"), F.collect_list("d").alias("ds"))
     one = near.where(F.size(F.filter("ds", lambda x: x == F.col("d"))) == 1).select("name", "entity_id")
     return names.join(one, "name").select("typed", "entity_id")

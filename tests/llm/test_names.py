@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from parley.llm import names
 
@@ -77,6 +78,16 @@ def linked_variants(spark):
     return {typed[r["row_id"]]: r["entity_id"] for r in out}
 
 
+def test_other_scripts_and_split_cells(spark):
+    roster = spark.createDataFrame([(1, "person", "Иван Петров"), (2, "person", "Мария Соколова"), (3, "person", "Anna Berg"), (4, "organisation", "東京 電力")], "entity_id long, entity_kind string, full_name string")
+    rows = spark.createDataFrame([("t", 1, "Петров, Иван"), ("t", 2, "мария соколва"), ("t", 3, "BERG, Anna"), ("t", 4, "電力 東京"), ("t", 5, "東京"), ("t", 6, "Иван Петров")], "tbl string, row_id long, typed string")
+    want = {(1, 1), (2, 2), (3, 3), (4, 4)}
+    exact = roster.select(F.col("full_name").alias("typed"))
+    for task in (4000, 2):
+        got = names.resolved(rows.select("typed").join(exact, "typed", "left_anti"), roster, task=task).join(rows, "typed")
+        assert want <= {(r["row_id"], r["entity_id"]) for r in got.collect()}
+
+
 def test_empty_sides(spark):
     none, roster = spark.createDataFrame([], "tbl string, row_id long, typed string"), spark.createDataFrame(ROSTER, "entity_id long, entity_kind string, full_name string")
     assert names.linked(none, roster).count() == 0
