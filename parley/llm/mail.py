@@ -5,6 +5,7 @@ from __future__ import annotations
 import binascii
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 _TYPE = re.compile(r"(?im)^content-type:[ \t]*([^;\s]+)([^\n]*)")
@@ -20,8 +21,6 @@ _GONE = re.compile(r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->")
 _QUOTE = re.compile(r"(?is)<blockquote\b.*?(?:</blockquote\s*>|\Z)")
 _BREAK = re.compile(r"(?i)</?(?:br|p|div|li|ul|ol|tr|td|th|table|h\d|body|html|hr|blockquote|pre)\b[^>]*>")
 _TAG = re.compile(r"<[^<>]*>")
-#: Multiparts may be nested this deep; deeper ones are read as text.
-DEPTH = 12
 
 
 @dataclass(slots=True)
@@ -60,21 +59,31 @@ def split_head(text: str) -> tuple[str, str]:
     return re.sub(r"\n[ \t]+", " ", head), body
 
 
-def _walk(text: str, depth: int, out: list[Part], other: bool) -> None:
+def _walk(whole: str, out: list[Part]) -> None:
+    """Adds the parts of a message in order; multiparts may be nested to any depth."""
+    todo: list[tuple[str, bool]] = [(whole, False)]
+    while todo:
+        text, other = todo.pop()
+        todo += reversed(list(_pieces(text, other, out)))
+
+
+def _pieces(text: str, other: bool, out: list[Part]) -> Iterator[tuple[str, bool]]:
+    """The pieces of a multipart, with whether they are alternatives to one before; any other part is added to `out`."""
     head, body = split_head(text)
     kind = _TYPE.search(head)
     name, rest = (kind[1].lower(), kind[2]) if kind else ("text/plain", "")
-    if name.startswith("multipart/") and depth < DEPTH and (m := _BOUNDARY.search(rest)):
+    if name.startswith("multipart/") and (m := _BOUNDARY.search(rest)):
         mark = re.escape(m[1] or m[2])
         pieces = re.split(rf"(?m)^--{mark}(?:--)?[ \t]*(?:\n|\Z)", body)
         if len(pieces) > 1:
-            first = len(out)
+            first = True
             for piece in pieces[1:]:
                 if piece.strip():
-                    _walk(piece, depth + 1, out, name == "multipart/alternative" and len(out) > first)
+                    yield piece, name == "multipart/alternative" and not first
+                    first = False
             return
-    elif name == "message/rfc822" and depth < DEPTH:
-        _walk(body, depth + 1, out, other)
+    elif name == "message/rfc822":
+        yield body, other
         return
     attached = bool(_ATTACHED.search(head))
     if name == "text/html" or name.startswith("text/") or name.startswith("multipart/") or (attached and _FILE.search(head)):
@@ -91,7 +100,7 @@ def parts(message: str | None) -> list[Part]:
     while text.startswith(("From ", ">From ")):
         text = text.partition("\n")[2]
     out: list[Part] = []
-    _walk(text, 0, out, False)
+    _walk(text, out)
     return out
 
 

@@ -97,7 +97,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List density and share of replicated phrases of the messages that look like lists."""
-    return spam.evidence(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", F.round("density", 6).alias("density"), F.round("stitched", 6).alias("stitched"))
+    return spam.evidence(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", F.round("density", 6).alias("density"), F.round("stitched", 6).alias("stitched"), F.round("replicated", 6).alias("replicated"), "hosts")
 
 
 QUERIES = {

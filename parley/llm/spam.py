@@ -2,8 +2,8 @@
 
 Two kinds of evidence are joined. List density: the share of a message's own words that stand in links, tags, product
 codes or runs without any function word, as only lists have them. Phrases: five-word shingles, in which links, tags and
-numbers are masked, are counted over all messages by the least and greatest host that has them; a message is stitched
-from the shingles that another host has too, or that it repeats itself.
+numbers are masked, are counted over all messages by the distinct hosts that have them; a message is stitched from the
+shingles that another host has too, or that it repeats itself.
 """
 
 from __future__ import annotations
@@ -12,18 +12,22 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import mail
+from parley.operators.skew import salted_join
+from parley.sources.tables import cut
 
 SHINGLE = 5
 #: A run of words without function words counts as a list from this length on.
 RUN = 7
-#: Shares above which a message is flagged.
-DENSITY, STITCHED = 0.5, 0.2
+#: Shares above which a message is flagged. Lists are often made for one message, so phrases that it repeats itself count
+#: as replicated too, and fewer than half of them need be.
+DENSITY, REPLICATED = 0.5, 0.2
 
 # Function words of English, German, French and Spanish; hardly a sentence has none in seven words.
 FUNCTION = set(
@@ -112,56 +116,58 @@ def shingles(words: list[str]) -> list[int]:
     return [_hash(" ".join(words[i : i + SHINGLE])) for i in range(len(words) - SHINGLE + 1)]
 
 
-def phrase_hosts(documents: DataFrame) -> DataFrame:
-    """(shingle, least, most): the least and greatest host of each shingle of all messages (doc_id, text).
+_PAIR = np.dtype([("shingle", "<i8"), ("host", "<i4")])
+_OWN = np.dtype([("doc", "<i8"), ("shingle", "<i8"), ("density", "<f8"), ("times", "<i4"), ("total", "<i4")])
 
-    Hosts are 32-bit hashes of the sender's address. A task tells a shingle and host once for each thousand messages.
-    """
+
+def _phrases(at_least: float):
+    """Batches of messages to (pairs, own): the distinct shingles and hosts of all of them, and the shingles of those whose list density exceeds `at_least`, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
+            docs, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for lo in range(0, len(texts), 1000):
-                seen = {(s, h) for t in texts[lo : lo + 1000] if t for h in (_hash(mail.sender(t)) & 0x7FFFFFFF,) for s in shingles(words_of(own_text(t)))}
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in seen], pa.int64()), pa.array([h for _, h in seen], pa.int32())], names=["shingle", "host"])
-
-    return documents.select("text").mapInArrow(run, "shingle long, host int").groupBy("shingle").agg(F.min("host").alias("least"), F.max("host").alias("most"))
+                pairs, own = set(), []
+                for doc, text in zip(docs[lo : lo + 1000], texts[lo : lo + 1000], strict=True):
+                    words = words_of(own_text(text))
+                    if not words:
+                        continue
+                    found, host, share = shingles(words), _hash(mail.sender(text)) & 0x7FFFFFFF, density(words)
+                    pairs.update((s, host) for s in found)
+                    if share > at_least:
+                        own += [(doc, s, share, n, len(found)) for s, n in Counter(found).items()]
+                yield pa.RecordBatch.from_arrays([pa.array([np.array(list(pairs), _PAIR).tobytes()], pa.binary()), pa.array([np.array(own, _OWN).tobytes()], pa.binary())], names=["pairs", "own"])
 
+    return run
 
-def listed(documents: DataFrame, at_least: float = DENSITY) -> DataFrame:
-    """(doc_id, host, density, shingle, times, total): the shingles of the messages whose list density exceeds `at_least`."""
 
+def _unpacked(column: str, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words = words_of(own_text(text))
-                share = density(words)
-                if share > at_least:
-                    found = Counter(shingles(words))
-                    total = sum(found.values())
-                    host = _hash(mail.sender(text)) & 0x7FFFFFFF
-                    out += [(doc, host, share, s, n, total) for s, n in found.items()]
-            types = (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "host", "density", "shingle", "times", "total"])
+            for data in b.column(column).to_pylist():
+                rows = np.frombuffer(data, kind)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in kind.names], names=list(kind.names))
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, host int, density double, shingle long, times int, total int")
+    return run
 
 
 def evidence(documents: DataFrame, at_least: float = DENSITY) -> DataFrame:
-    """(doc_id, density, stitched) of the messages whose list density exceeds `at_least`; `stitched` is the share of their
-    shingles that another host has too or that they repeat.
+    """(doc_id, density, stitched, replicated, hosts) of the messages whose list density exceeds `at_least`.
 
-    Shingle counts cover all messages and are combined before the shuffle; the messages' own shingles meet them by a
-    hash join on the shingle. Null and empty texts, and those without words, have no evidence.
+    `stitched` is the share of their shingles that more than one host has, `replicated` that of those which another host
+    has or the message itself has again, `hosts` the greatest number of hosts of one of its shingles. Hosts are 32-bit hashes of
+    the senders' addresses, counted exactly over all messages: pairs of shingle and host are made distinct in each
+    thousand messages, then in two steps, so a phrase that everybody uses is spread by its hosts. Messages are decoded
+    once and their phrases kept packed in a checkpoint. Null and empty texts, and those without words, have no evidence.
     """
-    mine = listed(documents, at_least)
-    counts = phrase_hosts(documents)
-    met = counts.join(mine.hint("shuffle_hash"), "shingle")
-    shared = (F.col("least") != F.col("host")) | (F.col("most") != F.col("host")) | (F.col("times") > 1)
-    return met.groupBy("doc_id").agg(F.max("density").alias("density"), (F.sum(F.when(shared, F.col("times")).otherwise(0)) / F.max("total")).alias("stitched"))
+    packed = cut(documents.select("doc_id", "text").mapInArrow(_phrases(at_least), "pairs binary, own binary"))
+    hosts = packed.select("pairs").mapInArrow(_unpacked("pairs", _PAIR), "shingle long, host int").groupBy("shingle", "host").agg(F.lit(1).alias("one")).groupBy("shingle").agg(F.count("*").alias("hosts"))
+    own = packed.select("own").mapInArrow(_unpacked("own", _OWN), "doc long, shingle long, density double, times int, total int")
+    met = salted_join(own, hosts, ["shingle"], "inner")
+    part = lambda c: (F.sum(F.when(c, F.col("times")).otherwise(0)) / F.max("total"))
+    return met.groupBy(F.col("doc").alias("doc_id")).agg(F.max("density").alias("density"), part(F.col("hosts") > 1).alias("stitched"), part((F.col("hosts") > 1) | (F.col("times") > 1)).alias("replicated"), F.max("hosts").alias("hosts"))
 
 
-def stuffed(documents: DataFrame, at_least: float = DENSITY, stitched: float = STITCHED) -> DataFrame:
-    """(doc_id): messages (doc_id, text) that are lists, and stitched from phrases found elsewhere or repeated."""
-    return evidence(documents, at_least).where(F.col("stitched") > stitched).select("doc_id").distinct()
+def stuffed(documents: DataFrame, at_least: float = DENSITY, replicated: float = REPLICATED) -> DataFrame:
+    """(doc_id): messages (doc_id, text) more than `at_least` of which is lists, and more than `replicated` of whose phrases occur elsewhere or again."""
+    return evidence(documents, at_least).where(F.col("replicated") > replicated).select("doc_id").distinct()

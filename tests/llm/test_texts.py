@@ -249,6 +249,15 @@ def test_stuffed_messages(spark):
     assert spam.stuffed(df.limit(0)).count() == 0
 
 
+def test_hosts_are_counted_exactly(spark):
+    say = lambda who, text: _message("text/plain", "8bit", text).replace("From: ", f"From: {who}@x.example, ", 1)
+    docs = [(i, say(f"s{i % 5}", STUFFED[0])) for i in range(12)] + [(50, say("s9", STUFFED[2]))]
+    rows = {r["doc_id"]: r for r in spam.evidence(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    hosts = len({spam.mail.sender(m) for i, m in docs if i < 12})
+    assert {rows[i]["hosts"] for i in range(12)} == {hosts} and rows[0]["stitched"] == (1.0 if hosts > 1 else 0.0)
+    assert rows[50]["hosts"] == 1 and rows[50]["stitched"] == 0 and rows[50]["replicated"] > 0.2
+
+
 def test_own_text():
     m = _message("text/plain", "8bit", "Own words here.\nOn 2025-02-15 00:30:34, Olga Harron wrote:\n> quoted\nmore own\n-- \nOlga\n________________\nThis message is confidential.")
     assert spam.own_text(m).split("\n")[:2] == ["Own words here.", "more own"] and "Olga" not in spam.own_text(m) and "confidential" not in spam.own_text(m)
