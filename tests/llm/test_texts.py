@@ -224,12 +224,12 @@ def test_leaks_match_brute_force(spark):
     assert leaks.find_leaks(d, e.limit(0)).count() == 0
 
 
-def test_leaks_over_several_indexes(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "SLICE", 2)
+def test_leaks_over_several_indexes(spark):
     text = " ".join(f"u{i}" for i in range(30))
     items = spark.createDataFrame([(i, text if i == 4 else " ".join(f"z{i}x{j}" for j in range(20))) for i in range(5)], "item_id long, item_text string")
     docs = spark.createDataFrame([(1, _message("text/plain", "8bit", text))], "doc_id long, text string")
-    assert [tuple(r) for r in leaks.find_leaks(docs, items).collect()] == [(1, 4)]
+    for size, at_once in ((5000, 16), (1, 2), (2, 1)):
+        assert [tuple(r) for r in leaks.find_leaks(docs, items, size=size, at_once=at_once).collect()] == [(1, 4)]
 
 
 STUFFED = [
