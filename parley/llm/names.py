@@ -268,9 +268,9 @@ def resolved(typed: DataFrame, roster: DataFrame, count: int = PIVOTS, task: int
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("form", "entity_id", "most")), pa.array([v[k].tobytes() for k in row], pa.binary()), pa.array(cell.astype(np.int32))], names=["form", "entity_id", "most", "v", "cell"])
 
-    names = typed.select("typed").where("typed is not null").distinct().mapInArrow(_cleaned, "typed string, name string").where("name <> ''")
     # few bytes but much work: a fixed number of partitions isn't coalesced
     spread = typed.sparkSession.sparkContext.defaultParallelism * 2
+    names = cut(typed.select("typed").where("typed is not null").distinct().repartition(spread, "typed").mapInArrow(_cleaned, "typed string, name string").where("name <> ''"))
     queries = cut(names.select("name").distinct().repartition(spread, "name").mapInArrow(placed, "name string, cell int, v binary"))
     right = cut(forms.repartition(spread, "form").mapInArrow(reached, "form string, entity_id long, most int, v binary, cell int"))
     counts = cut(queries.groupBy("cell").agg(F.count("*").alias("q")).join(right.groupBy("cell").agg(F.count("*").alias("f")), "cell", "full"))  # a row for each pivot
