@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """A category for texts, in lower case, in which `pattern` is found. `prev` must also be found in the text before; `most` words at most."""
+    """A category for texts, in lower case, in which `pattern`, and `also`, are found. `prev` must also be found in the text before; `most` words at most."""
 
     category: str
     pattern: str
@@ -18,6 +18,7 @@ class Rule:
     retained: bool
     prev: str = ""
     most: int = 0
+    also: str = ""
 
 
 def word(alternatives: str) -> str:
@@ -34,6 +35,8 @@ def cascade(rules: list[Rule], text: Column, prev: Column, words: Column, other:
     out = None
     for r in rules:
         found = text.rlike(r.pattern)
+        if r.also:
+            found = found & text.rlike(r.also)
         if r.prev:
             found = found & prev.rlike(r.prev)
         if r.most:
@@ -53,6 +56,8 @@ def cascade_sql(rules: list[Rule], text: str, prev: str, words: str, other: Rule
     lines = []
     for r in rules:
         cond = f"regexp_matches({text}, {q(r.pattern)})"
+        if r.also:
+            cond += f" AND regexp_matches({text}, {q(r.also)})"
         if r.prev:
             cond += f" AND coalesce(regexp_matches({prev}, {q(r.prev)}), FALSE)"
         if r.most:

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import signal
-from parley.functions.text import TIME_MARKS, speaker_label, without_markup
+from parley.functions.text import TIME_MARKS, restored, speaker_label, without_markup
 
-#: A line's label: up to 25 letters, digits, blanks, dots or hyphens, in brackets or asterisks, before a colon or a closing bracket.
-LABEL = r"^\s*[\[(]?[*_]{0,2}([A-Za-z0-9_ .\-]{1,25}?)[*_]{0,2}\s*(?::\s*\**|\*{1,2}:|\]:?|\):?)\s*(.*)$"
+_NAME = r"[A-Za-z0-9][A-Za-z0-9_ .\-]{0,24}?"
+#: A line with a label: the name alone or in marks (stars, underscores, brackets), then what ends it, then what was said.
+LABEL = rf"^[\[(]?[*_]{{0,2}}({_NAME})[*_]{{0,2}}[\])]?\s*(?:[*_]{{0,2}}:[*_]{{0,2}}|(?<=[\])])| - )\s*(.*)$"
 
 
 def parsed_turns(transcripts: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,6 +24,7 @@ def parsed_turns(transcripts: DataFrame, key: str, text: str) -> DataFrame:
 
     Time marks are taken off each line; a line with a label starts a turn, one without goes on with it, and lines before
     any label belong to 'Speaker'. Turns without words are left out and turns are numbered from 1. Null texts give none.
+    A transcript in which nobody is named, so that all would be one turn, is cut into its sentences of over three characters.
     """
     lines = transcripts.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     bare = F.col("line")
@@ -35,6 +37,9 @@ def parsed_turns(transcripts: DataFrame, key: str, text: str) -> DataFrame:
     lines = lines.withColumn("turn", F.sum(F.col("opens").cast("int")).over(w))
     turns = lines.groupBy(key, "turn").agg(F.max(F.when(F.col("opens"), F.col("label"))).alias("speaker"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said"))), lambda x: x["said"]), " ").alias("said"))
     turns = turns.withColumn("utterance", without_markup(F.col("said"))).where("utterance rlike '[A-Za-z0-9]'")
+    turns = turns.withColumn("named", F.max(F.col("speaker").isNotNull()).over(Window.partitionBy(key)))
+    pieces = F.when(F.col("named"), F.array("utterance")).otherwise(restored(F.col("utterance")))
+    turns = turns.select(key, "speaker", F.col("turn").alias("t"), F.posexplode(pieces).alias("p", "utterance")).withColumn("turn", F.struct("t", "p")).where("length(trim(utterance)) > 3 or speaker is not null")
     return turns.select(key, F.row_number().over(Window.partitionBy(key).orderBy("turn")).alias("turn_no"), F.coalesce("speaker", F.lit("Speaker")).alias("speaker"), "utterance")
 
 

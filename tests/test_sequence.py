@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.operators import gate
+from parley.operators import gate, sequence
 from parley.operators.sequence import asof_join, islands, last_value_before, streaks
 
 
@@ -37,9 +38,54 @@ def test_text_functions(spark):
 
 
 def test_gate_golden(spark):
-    turns = ["Is that a blocker?", "No.", "We decided to ship, but nobody may touch the relay", "Oh great, another outage", "How was your weekend?", "Costs for the relay rose to $5,000", "hm", ""]
+    turns = ["Is that a blocker?", "No.", "We decided to ship, but the relay is a blocker", "Oh great, another outage", "How was your weekend?", "Costs for the relay rose to $5,000", "hm", ""]
     df = spark.createDataFrame([("m", i, t) for i, t in enumerate(turns)], "m string, i int, t string")
     got = gate.classified(gate.clauses(df, "t"), "m", ["i", "clause_idx"]).orderBy("i", "clause_idx").collect()
     assert [r["category"] for r in got] == ["QUESTION", "NON_BLOCKING_ISSUE", "DECISION", "BLOCKER", "SARCASM", "CASUAL", "CURRENT_VALUE", "OTHER"]
     a = gate.audit(gate.classified(gate.clauses(df, "t"), "m", ["i", "clause_idx"]), "m").collect()[0]
     assert a["total"] == 8 and a["kept"] + a["discarded"] == 8 and a["retention_pct"] == 62.5
+
+
+@pytest.mark.parametrize("width", [4096, 3, 1])
+def test_numbered_neighbours_and_machine_in_chunks(spark, width):
+    r = random.Random(1)
+    rows = [(k, t, i, r.randrange(1, 5)) for k in (1, 2) for i, t in enumerate(sorted(r.sample(range(60), 23)))]
+    df = spark.createDataFrame(rows, "k long, t int, i int, takes int").repartition(3)
+    placed = sequence.numbered(df, ["k"], ["t"], "pos", width)
+    near = sequence.neighbours(placed, ["k"], "pos", {"p2": ("t", -2), "n1": ("t", 1), "n3": ("t", 3)}, max(width, 3))
+    step = F.array(F.col("takes") - 1, F.lit(0), F.lit(1), F.lit(2))
+    got = {(x["k"], x["t"]): x for x in sequence.machine(near, ["k"], "pos", 4, step, "skip", width=width).collect()}
+    assert len(got) == len(rows)
+    for k in (1, 2):
+        own = [x for x in rows if x[0] == k]
+        skip = 0
+        for i, (_, t, _, takes) in enumerate(own):
+            x = got[k, t]
+            at = lambda j: own[j][1] if 0 <= j < len(own) else None  # noqa: E731, B023
+            assert (x["pos"], x["p2"], x["n1"], x["n3"], x["skip"]) == (i + 1, at(i - 2), at(i + 1), at(i + 3), skip)
+            skip = skip - 1 if skip else takes - 1
+
+
+#: clause before, clause, category, kept, confidence: one for each rule, and pairs of neighbouring rules that both match.
+GATE_CASES = [
+    ("Is the pump blocking launch?", "Nope.", "NON_BLOCKING_ISSUE", True, 0.95), ("Is it a blocker?", "It is!", "BLOCKER", True, 0.95), ("What is the target?", "42%", "TARGET", True, 0.95),
+    ("What is the price?", "$1,200", "CURRENT_VALUE", True, 0.95), ("And how many?", "about 12 gb", "PROFESSIONAL_FACT", True, 0.92), ("Who owns the boiler?", "Ingrid does", "OWNER_ASSIGNMENT", True, 0.95),
+    ("Anything else then?", "Friday", "DEADLINE", True, 0.92), ("Shall we close it?", "Confirmed.", "DECISION", True, 0.95), (None, "Confirmed.", "OTHER", False, 0.5),
+    (None, "That manager is totally useless", "BADMOUTHING", False, 0.95), (None, "Oh great, another one of those", "SARCASM", False, 0.95), (None, "This noise is driving us crazy", "EMOTIONAL_VENTING", False, 0.9),
+    (None, "I heard a rumor that they sold it", "GOSSIP", False, 0.9), (None, "Nice weather over there", "CASUAL", False, 0.9), (None, "Give me one second", "SPEAKER_ADMIN", False, 0.9),
+    (None, "Do you like pizza?", "CASUAL", False, 0.95), (None, "What is the boss talking about?", "GOSSIP", False, 0.85), (None, "How far is the harbour", "QUESTION", True, 0.85),
+    (None, "Maybe we should wait a little", "PROPOSAL", False, 0.9), (None, "In my personal opinion it rains", "PERSONAL_OPINION", False, 0.85), (None, "Once it rains we fix it", "CONDITIONAL_ACTION", True, 0.95),
+    (None, "The leak does not block anybody", "NON_BLOCKING_ISSUE", True, 0.95), (None, "We cannot proceed until it dries", "BLOCKER", True, 0.95), (None, "The garden is out of scope", "SCOPE_CHANGE", True, 0.95),
+    (None, "We decided to sell it", "DECISION", True, 0.95), (None, "Olga will write to them", "CONFIRMED_ACTION", True, 0.95), (None, "Update our list of keys", "CONFIRMED_ACTION", True, 0.95),
+    (None, "The funding is $40,000", "CURRENT_VALUE", True, 0.98), (None, "The target is 30 percent", "TARGET", True, 0.95), (None, "It was 30 percent", "HISTORICAL_VALUE", True, 0.95),
+    (None, "It shows 30 percent", "CURRENT_VALUE", True, 0.95), (None, "The roof is on track", "PROFESSIONAL_FACT", True, 0.95), (None, "A sensor hums", "PROFESSIONAL_FACT", True, 0.85), (None, "Hm hm", "OTHER", False, 0.5),
+    (None, "We decided to keep it out of scope", "SCOPE_CHANGE", True, 0.95), (None, "If it rains Olga will fix it, a hard blocker", "CONDITIONAL_ACTION", True, 0.95), (None, "Rapid growth", "PROFESSIONAL_FACT", True, 0.85),
+]
+
+
+def test_gate_cases(spark):
+    rows = [(i, k, x) for i, (prev, clause, *_) in enumerate(GATE_CASES) for k, x in enumerate([prev, clause]) if x is not None]
+    df = spark.createDataFrame([(f"m{i}", k, 0, x) for i, k, x in rows], "m string, i int, clause_idx int, clause string")
+    got = {(r["m"], r["clause"]): (r["category"], r["is_retained"], r["confidence"]) for r in gate.classified(df, "m", ["i", "clause_idx"]).collect()}
+    for i, (_, clause, category, kept, confidence) in enumerate(GATE_CASES):
+        assert got[f"m{i}", clause] == (category, kept, confidence), clause

@@ -60,3 +60,9 @@ def test_models_survive_storage(spark, tmp_path):
     p = scoring.nb_probabilities(words, store.load_model(spark, str(tmp_path / "nb")), "label", "token", "doc").collect()
     assert {(r["doc"], r["label"]) for r in p if r["p"] > 0.5} == {(1, "x"), (2, "y")}
     assert sum(r["p"] for r in p if r["doc"] == 1) == pytest.approx(1)
+
+
+def test_transcripts_without_names_are_cut_into_sentences(spark):
+    rows = [(1, "the pump is loud. It leaks\nsince May! Hm"), (2, "Olga - the pump is loud.\n(Sven) So it is.\n[Rhys]: (01:02) Indeed")]
+    got = [tuple(r) for r in transcripts.parsed_turns(spark.createDataFrame(rows, "doc long, t string"), "doc", "t").orderBy("doc", "turn_no").collect()]
+    assert got == [(1, 1, "Speaker", "The pump is loud."), (1, 2, "Speaker", "It leaks since May!"), (2, 1, "Olga", "the pump is loud."), (2, 2, "Sven", "So it is."), (2, 3, "Rhys", "Indeed")]
