@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 
 class Spark:
     """Spark SQL. Patterns must not hold a quote; lit() writes it as a code."""
@@ -89,3 +91,11 @@ class Duck(Spark):
 
 
 SPARK, DUCK = Spark(), Duck()
+
+
+def sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
+    """A Spark statement in which @name stands for a frame."""
+    text = text.replace("{", "{{").replace("}", "}}")
+    for name in frames:
+        text = text.replace("@" + name, "{" + name + "}")
+    return spark.sql(text, **frames)
