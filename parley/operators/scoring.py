@@ -70,14 +70,19 @@ def naive_bayes(tokens: DataFrame, label: str, token: str, doc: str, alpha: floa
     return priors, full.select(label, token, F.log((F.coalesce("c", F.lit(0)) + alpha) / (F.col("n_words") + alpha * size.scalar())).alias("lp"))
 
 
-def nb_probabilities(tokens: DataFrame, model: tuple[DataFrame, DataFrame], label: str, token: str, doc: str) -> DataFrame:
-    """(doc, label, p, matched): posterior of each class for documents (doc, token) with a known token."""
+def nb_probabilities(tokens: DataFrame, model: tuple[DataFrame, DataFrame], label: str, token: str, doc: str, docs: DataFrame | None = None) -> DataFrame:
+    """(doc, label, p, matched): posterior of each class for documents (doc, token) with a known token; for others of `docs` (doc) all classes are alike."""
     priors, like = model
     sums = tokens.select(doc, token).join(like, token).groupBy(doc, label).agg(F.sum("lp").alias("s"), F.count("*").alias("matched"))
     scored = sums.join(F.broadcast(priors.withColumnRenamed("lp", "prior")), label).withColumn("lp", F.col("s") + F.col("prior"))
     w = Window.partitionBy(doc)
     scored = scored.withColumn("e", F.exp(F.col("lp") - F.max("lp").over(w)))
-    return scored.select(doc, label, (F.col("e") / F.sum("e").over(w)).alias("p"), "matched")
+    out = scored.select(doc, label, (F.col("e") / F.sum("e").over(w)).alias("p"), "matched")
+    if docs is None:
+        return out
+    classes = priors.agg(F.sort_array(F.collect_set(label))).scalar()  # a few values
+    rest = docs.join(sums.select(doc).distinct(), doc, "left_anti").select(doc, F.explode(classes).alias(label), (1 / F.size(classes)).alias("p"), F.lit(0).cast("long").alias("matched"))
+    return out.unionByName(rest)
 
 
 def ensemble(rule: Column, nb: Column, matched: Column, boost: Column | float = 0.0) -> Column:

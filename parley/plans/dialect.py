@@ -47,7 +47,7 @@ class Spark:
         return f"listagg({value}, '{by}') WITHIN GROUP (ORDER BY {order})"
 
     def values(self, rows: list[tuple], names: str) -> str:
-        cell = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+        cell = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else f"{v}e0" if isinstance(v, float) else str(v)
         return "(SELECT * FROM VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f" AS v({names}))"
 
 
@@ -86,7 +86,7 @@ class Duck(Spark):
         return f"string_agg({value}, '{by}' ORDER BY {order})"
 
     def values(self, rows: list[tuple], names: str) -> str:
-        cell = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+        cell = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}e0" if isinstance(v, float) else str(v)
         return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS v({names}))"
 
 

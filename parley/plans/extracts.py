@@ -33,11 +33,11 @@ RISK = r"(?i)there is a risk that the (.+?) slips since ([^.]+)"
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "statements", "stmt_id", "meeting_id", "semantic_type", "clean_text").where("clean_text is not null")
-    return rows.groupBy("stmt_id", "meeting_id").agg(F.max("semantic_type").alias("semantic_type"), F.max("clean_text").alias("clean_text")).withColumn("low", F.lower("clean_text"))
+    return rows.groupBy("stmt_id", "meeting_id").agg(F.max(F.struct("clean_text", "semantic_type")).alias("r")).select("stmt_id", "meeting_id", "r.*").withColumn("low", F.lower("clean_text"))
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "task_nodes", "node_id", "full_description", "owner").groupBy("node_id").agg(F.max("full_description").alias("full_description"), F.max("owner").alias("owner"))
+    return table(spark, sf_dir, "task_nodes", "node_id", "full_description", "owner").groupBy("node_id").agg(F.max(F.struct("full_description", "owner")).alias("r")).select("node_id", "r.*")
 
 
 def txt_preambles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +150,8 @@ def gen_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "start", F.round(F.aggregate(frame, F.lit(0.0), lambda a, x: a + x) / 32, 6).alias("energy"))
 
 
-_TX = "tx AS (SELECT stmt_id, meeting_id, max(semantic_type) AS semantic_type, max(clean_text) AS clean_text, lower(max(clean_text)) AS low FROM statements WHERE clean_text IS NOT NULL GROUP BY 1, 2)"
-_TK = "tk AS (SELECT node_id, max(full_description) AS full_description, max(owner) AS owner FROM task_nodes GROUP BY 1)"
+_TX = "tx AS (SELECT stmt_id, meeting_id, semantic_type, clean_text, lower(clean_text) AS low FROM (SELECT *, row_number() OVER (PARTITION BY stmt_id, meeting_id ORDER BY clean_text DESC, semantic_type DESC NULLS LAST) AS rn FROM statements WHERE clean_text IS NOT NULL) WHERE rn = 1)"
+_TK = "tk AS (SELECT node_id, full_description, owner FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY full_description DESC NULLS LAST, owner DESC NULLS LAST) AS rn FROM task_nodes) WHERE rn = 1)"
 _m = lambda p, c="low": "regexp_matches(" + c + ", '" + p.replace("'", "''") + "')"
 _bare = reduce(lambda t, p: f"regexp_replace({t}, '(?i){p}', '', 'g')", PREAMBLES, "trim(clean_text)")
 _n = "len(string_split_regex(trim(clean_text), '\\s+'))"

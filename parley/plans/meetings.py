@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.operators.sequence import asof_join, islands, last_value_before, streaks
+from parley.operators.sequence import asof_join, islands, last_value_before, numbered, streaks
 from parley.sources.tables import table
 
 
@@ -16,14 +16,19 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("category", F.regexp_replace(F.lower(F.trim("category")), r"[\s-]+", "_"))
 
 
+def _whole(rows: DataFrame, keys: tuple, columns: tuple) -> DataFrame:
+    """One delivery of each key, whole: the greatest by `columns` in their order."""
+    return rows.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_r")).select(*keys, "_r.*")
+
+
 def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "statements", "meeting_id", "turn_idx", "stmt_id", "semantic_type", "entity", "stated_value", "speaker")
-    return rows.groupBy("meeting_id", "turn_idx", "stmt_id").agg(*[F.max(c).alias(c) for c in ("semantic_type", "entity", "stated_value", "speaker")])
+    return _whole(rows, ("meeting_id", "turn_idx", "stmt_id"), ("semantic_type", "entity", "stated_value", "speaker"))
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "task_nodes", "node_id", "meeting_id", "action_verb", "target_object", "owner", "deadline")
-    return rows.groupBy("node_id", "meeting_id").agg(*[F.max(c).alias(c) for c in ("action_verb", "target_object", "owner", "deadline")])
+    return _whole(rows, ("node_id", "meeting_id"), ("action_verb", "target_object", "owner", "deadline"))
 
 
 ORDER = ("turn_idx", "stmt_id")
@@ -35,8 +40,8 @@ def _w() -> Window:
 
 def rel_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of each meeting in the order of their ids."""
-    w = Window.partitionBy("meeting_id").orderBy("id", "item_ts", "category", "speaker")
-    return _items(spark, sf_dir).where("meeting_id is not null").select("meeting_id", F.row_number().over(w).alias("pos"), "id", "category")
+    rows = numbered(_items(spark, sf_dir).where("meeting_id is not null"), ["meeting_id"], ["id", "item_ts", "category", "speaker"], width=65536)
+    return rows.select("meeting_id", F.col("pos").cast("int").alias("pos"), "id", "category")
 
 
 def rel_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +246,7 @@ def set_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that speak and own tasks, that only speak and that only own."""
     a = _items(spark, sf_dir).where("speaker <> ''").select(F.col("speaker").alias("name"))
     b = _tasks(spark, sf_dir).where("owner <> ''").select(F.col("owner").alias("name"))
-    parts = (("both", a.intersect(b)), ("speaks", a.exceptAll(b).distinct().subtract(b)), ("owns", b.subtract(a)))
+    parts = (("both", a.intersect(b)), ("speaks", a.subtract(b)), ("owns", b.subtract(a)))
     out = [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, d in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
@@ -267,8 +272,9 @@ def rpt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ITEMS = "items AS (SELECT id, meeting_id, item_ts, regexp_replace(lower(trim(category)), '[\\s-]+', '_', 'g') AS category, speaker, confidence FROM meeting_items GROUP BY id, meeting_id, item_ts, meeting_items.category, speaker, confidence)"
-_ST = "st AS (SELECT meeting_id, turn_idx, stmt_id, max(semantic_type) AS semantic_type, max(entity) AS entity, max(stated_value) AS stated_value, max(speaker) AS speaker FROM statements GROUP BY 1, 2, 3)"
-_TASK = "task AS (SELECT node_id, meeting_id, max(action_verb) AS action_verb, max(owner) AS owner, max(deadline) AS deadline FROM task_nodes GROUP BY 1, 2)"
+_one = lambda t, keys, cols: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {', '.join(c + ' DESC NULLS LAST' for c in cols)}) AS rn FROM {t}) WHERE rn = 1)"
+_ST = f"st AS (SELECT meeting_id, turn_idx, stmt_id, semantic_type, entity, stated_value, speaker FROM {_one('statements', 'meeting_id, turn_idx, stmt_id', ('semantic_type', 'entity', 'stated_value', 'speaker'))})"
+_TASK = f"task AS (SELECT node_id, meeting_id, action_verb, owner, deadline FROM {_one('task_nodes', 'node_id, meeting_id', ('action_verb', 'target_object', 'owner', 'deadline'))})"
 _W = "OVER (PARTITION BY meeting_id ORDER BY turn_idx, stmt_id)"
 _NEW = "new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST, total_segments_analyzed DESC NULLS LAST, professional_segments_retained DESC NULLS LAST, discarded_segments_count DESC NULLS LAST, {0}) AS rn FROM meetings) WHERE rn = 1)"
 _SEC = f"{_ST}, sec AS (SELECT meeting_id, section, row_number() OVER (PARTITION BY meeting_id, section ORDER BY turn_idx, stmt_id) AS pos, stmt_id FROM (SELECT *, CASE semantic_type WHEN 'FACT' THEN 'facts' WHEN 'RISK' THEN 'issues' WHEN 'BLOCKER' THEN 'issues' WHEN 'DECISION' THEN 'decisions' WHEN 'CONFIRMED_ACTION' THEN 'actions' END AS section FROM st) WHERE section IS NOT NULL QUALIFY pos <= 6)"

@@ -211,16 +211,33 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(sql(spark, f"WITH counted AS (SELECT * FROM @counted), {antecedents_sql(SPARK)} SELECT * FROM live", counted=cut(_counted(spark, sf_dir))))
 
 
+def _filled(select: str, d: Spark) -> str:
+    return select.replace("@joined", d.joined("line", "\\n" if d is SPARK else "\n", "section_no, line_no")).replace("@metric", d.has("l.low", METRIC))
+
+
 def _query(select: str, *parts, frame: str = "live"):  # noqa: ANN002, ANN202
     """A query and its DuckDB statement over the clauses that count (or over all, `counted`), with the given parts added."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _live(spark, sf_dir) if frame == "live" else _counted(spark, sf_dir)
+        select_ = _filled(select, SPARK)
         with_ = ", ".join([f"{frame} AS (SELECT * FROM @rows)", *(p(SPARK) for p in parts)])
-        return sql(spark, f"WITH {with_} {select}", rows=rows)
+        return sql(spark, f"WITH {with_} {select_}", rows=rows)
 
     before = [_COUNTED, antecedents_sql(DUCK)] if frame == "live" else [_COUNTED]
-    return run, f"WITH {', '.join([*before, *(p(DUCK) for p in parts)])} {select}"
+    return run, f"WITH {', '.join([*before, *(p(DUCK) for p in parts)])} {_filled(select, DUCK)}"
+
+
+#: Sections of the report in order: title, kind of result and most lines.
+SECTIONS = (("KEY FACTS", "fact", 15), ("ISSUES AND RISKS", "issue", 6), ("DECISIONS", "decision", 6), ("RELEASE GATES", "gate", 6), ("DEPENDENCIES", "dependency", 6), ("ACTIONS", "action", 6), ("CORRECTIONS", "correction", 6), ("UNRESOLVED", "unresolved", 4), ("OUT OF SCOPE", "out_of_scope", 4), ("PROCEDURES", "procedure", 4))
+
+
+def report_sql(d: Spark) -> str:
+    """final to lines: the numbered lines of each section of each meeting's report; sections without results are left out."""
+    named = d.values([(i, t, k, n) for i, (t, k, n) in enumerate(SECTIONS)], "section_no, title, kind, most")
+    line = "concat('- ', text, CASE WHEN owner IS NOT NULL AND kind = 'action' THEN concat(' (', owner, ', ', value, ')') ELSE '' END)"
+    return f"""ranked AS (SELECT f.meeting_id, s.section_no, s.title, s.most, {line.replace('kind', 'f.kind')} AS line, row_number() OVER (PARTITION BY f.meeting_id, f.kind ORDER BY f.pos, f.text, f.owner NULLS FIRST) AS k, count(*) OVER (PARTITION BY f.meeting_id, f.kind) AS n FROM final f JOIN {named} s ON s.kind = f.kind),
+lines AS (SELECT meeting_id, section_no, k AS line_no, line FROM ranked WHERE k <= most UNION ALL SELECT meeting_id, section_no, 0, concat(title, ' (', n, ')') FROM ranked WHERE k = 1)"""
 
 
 _OUT = "SELECT meeting_id, pos, text, owner, status, value FROM out WHERE kind = '{0}'"
@@ -233,6 +250,10 @@ _ALL = {
     "fold_gates": _query(_OUT.format("gate"), yields_sql),
     "fold_corrections": _query(_OUT.format("correction"), yields_sql),
     "fold_dependencies": _query(_OUT.format("dependency"), yields_sql),
+    "rpt_executive": _query("SELECT meeting_id, report_of AS report FROM (SELECT meeting_id, @joined AS report_of FROM lines GROUP BY meeting_id) q", yields_sql, final_sql, report_sql),
+    "rpt_analysis": _query("SELECT meeting_id, kind, count(*) AS n, min(pos) AS first_pos, count(DISTINCT owner) AS n_owners FROM final GROUP BY meeting_id, kind", yields_sql, final_sql),
+    "fold_recall": _query("SELECT l.meeting_id, l.pos, l.clause FROM live l WHERE @metric AND NOT EXISTS (SELECT 1 FROM final f WHERE f.meeting_id = l.meeting_id AND contains(lower(f.text), l.low)) AND l.is_retained", yields_sql, final_sql),
+    "fold_unresolved": _query(_OUT.format("unresolved"), yields_sql),
     "fold_final": _query("SELECT meeting_id, pos, kind, text, owner, status, value FROM final", yields_sql, final_sql),
 }
 QUERIES = {}

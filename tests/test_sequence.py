@@ -89,3 +89,34 @@ def test_gate_cases(spark):
     got = {(r["m"], r["clause"]): (r["category"], r["is_retained"], r["confidence"]) for r in gate.classified(df, "m", ["i", "clause_idx"]).collect()}
     for i, (_, clause, category, kept, confidence) in enumerate(GATE_CASES):
         assert got[f"m{i}", clause] == (category, kept, confidence), clause
+
+
+def test_spoken_numbers_within_sentences(spark):
+    from parley.plans import rules
+
+    df = rules.txt_spoken(spark, "/root/testdata/sf0.001")
+    texts = [r["text"] for r in df.collect()]
+    ends = [("12 people came", "twelve"), ("about $205", "hundred"), ("99% of them", "ninety"), ("1200 units", "thousand")]
+    for end, word in ends:
+        assert any(x.endswith(end) for x in texts) and not any(word in x for x in texts)
+
+
+def test_meeting_state_of_a_dialogue(spark, tmp_path):
+    """Results of a written dialogue, derived by hand from the order of the steps."""
+    from parley.plans import state
+
+    said = ["The budget is $40,000 for the report.", "Actually the latest budget is $45,000 for the report.", "Can you send the audit report by 5 pm?", "Yes, I will", "How long is the server test?", "Two days for the server",
+            "Olga, review the vendor contract tomorrow", "We should move the dashboard to phase two, the report agrees.", "The branch is deployed and the test is delayed", "I disagree", "The server is failing because of the old certificate"]
+    rows = [(1, i, i, ["A", "B"][i % 2], t) for i, t in enumerate(said)]
+    spark.createDataFrame(rows, "meeting_id long, turn_idx int, stmt_id long, speaker string, clean_text string").write.parquet(f"{tmp_path}/statements.parquet")
+    lines, state.DIALOGUE = state.DIALOGUE, (("A", ""),)
+    try:
+        got = {(r["kind"], r["text"], r["owner"], r["status"]) for r in state.QUERIES["fold_final"](spark, str(tmp_path)).collect()}
+    finally:
+        state.DIALOGUE = lines
+    assert ("correction", "$45,000 (revised from earlier $40,000)", None, "$40,000") in got and ("fact", "Confirmed at $45,000", None, "METRIC") in got
+    assert not any(k == "fact" and "$40,000" in t for k, t, _, _ in got)
+    assert ("action", "Send the audit report", "B", "CONFIRMED") in got
+    assert ("action", "Review the vendor contract", "Olga", "CONFIRMED") in got
+    assert any(k == "issue" and s == "confirmed" and o == "the old certificate" for k, _, o, s in got)
+    assert not any(k == "decision" for k, *_ in got)
