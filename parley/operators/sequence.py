@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +96,30 @@ def machine(df: DataFrame, partition: list[str], pos: str, states: int, step: Co
     run = F.aggregate("_rows", zero, lambda a, r: F.struct(F.element_at(r["s"], (a["x"] + 1).cast("int")).alias("x"), F.concat(a["out"], F.array(F.struct(r["p"].cast("bigint").alias("p"), a["x"].alias("x")))).alias("out")), lambda a: a["out"])
     states_at = chunks.join(firsts, keys).select(*partition, F.explode(run).alias("r")).select(*partition, F.col("r.p").alias(pos), F.col("r.x").alias(name))
     return df.join(states_at, [*partition, pos])
+
+
+def streamed(df: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], Any], step: Callable[[Any, tuple], list[tuple]]) -> DataFrame:
+    """Rows of `schema`, whose first column is the key: what `step` gives for each row of df in order, as tuples without the key.
+
+    For recurrences whose state isn't finite. Each key's rows pass as a sorted stream, which spills; a task keeps the
+    state of one key alone, so a key of any length takes linear time and constant memory, but its own task.
+    step: called with the state, a mutable object made by start() for each key, and the row as a tuple.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    at = df.columns.index(key)
+    types = df.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(types)
+        now, state, begun = None, None, False
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or row[at] != now:
+                    now, state, begun = row[at], start(), True
+                out += [(now, *x) for x in step(state, row)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], arrow.field(i).type) for i in range(len(names))], names=names)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators.references import orphan_report, reference_states
+from parley.operators.references import MATCHES, orphan_report, reference_states
 from parley.sources.tables import table
 
 CHILDREN = {"meeting_items": "item_ts", "meeting_summaries": "generated_at"}
@@ -33,6 +33,15 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(states.where("tbl = 'meeting_items'"), "meeting_items", "year_month").unionByName(orphan_report(states.where("tbl = 'meeting_summaries'"), "meeting_summaries", "year_month"))
 
 
+def p2_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of two columns, either of which may be null: (meeting, speaker) of meeting_items to those of statements, by each match rule."""
+    rows = table(spark, sf_dir, "meeting_items", "id", "meeting_id", "speaker").distinct()
+    said = table(spark, sf_dir, "statements", "meeting_id", "speaker")
+    on = [("meeting_id", "meeting_id"), ("speaker", "speaker")]
+    parts = [reference_states(rows, said, on, match).groupBy("ref_state").agg(F.count("*").alias("n")).select(F.lit(match).alias("match"), "ref_state", "n") for match in MATCHES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _SQL = """
 WITH first_meeting AS (SELECT id, min(loaded_at) AS seen FROM meetings GROUP BY id),
 rows_ AS (
@@ -47,8 +56,13 @@ found AS (
   WHERE m.id IS NULL OR m.seen > rows_.seen)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p2_composite": p2_composite}
 SQL = {
     "p2_found": _SQL + "SELECT tbl, row_id, year_month, ref_state FROM found",
     "p2_report": _SQL + "SELECT tbl, year_month, ref_state, count(*) AS n_rows FROM found GROUP BY ALL",
+    "p2_composite": """WITH c AS (SELECT DISTINCT id, meeting_id, speaker FROM meeting_items), k AS (SELECT *, EXISTS (SELECT 1 FROM statements s WHERE s.meeting_id = c.meeting_id AND s.speaker = c.speaker) AS both_,
+      meeting_id IN (SELECT meeting_id FROM statements WHERE meeting_id IS NOT NULL) AS by_meeting, speaker IN (SELECT speaker FROM statements WHERE speaker IS NOT NULL) AS by_speaker FROM c),
+      m AS (SELECT unnest(['simple', 'partial', 'full']) AS match, * FROM k)
+      SELECT match, CASE WHEN meeting_id IS NULL AND speaker IS NULL THEN 'unset' WHEN meeting_id IS NOT NULL AND speaker IS NOT NULL THEN CASE WHEN both_ THEN 'ok' ELSE 'absent' END WHEN match = 'simple' THEN 'unset' WHEN match = 'full' THEN 'mixed'
+      WHEN meeting_id IS NOT NULL THEN CASE WHEN by_meeting THEN 'ok' ELSE 'absent' END WHEN by_speaker THEN 'ok' ELSE 'absent' END AS ref_state, count(*) AS n FROM m GROUP BY ALL""",
 }

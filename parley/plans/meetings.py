@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.operators.sequence import asof_join, islands, last_value_before, numbered, streaks
+from parley.operators.sequence import asof_join, islands, last_value_before, machine, numbered, streaks
 from parley.sources.tables import table
 
 
@@ -154,25 +154,27 @@ def fold_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The context boost of each statement, by one ordered fold over a meeting whose state is what was decided before.
+    """The context boost of each statement, which depends on the classes that earlier ones were given, boosts included.
 
-    A statement starts from .65, or .4 if it is casual; the streaks of earlier classes move that, and the result decides
-    its class, which the next statement sees.
+    A statement starts from .68, from .55 if it is uncertain or .4 if it is casual; the streaks of earlier classes move
+    that, and the result decides its class, which the next statement sees. Streaks count up to two, so the recurrence is
+    a finite machine of nine states (three of work by three of other talk), run in chunks.
     """
-    base = F.when(F.col("semantic_type") == "CASUAL", 0.40).when(F.col("semantic_type").isin("OPINION", "UNCERTAINTY"), 0.55).otherwise(0.68)
-    rows = _statements(spark, sf_dir).withColumn("base", base).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "base"))).alias("turns"))
-    zero = F.struct(F.lit(0).alias("work"), F.lit(0).alias("other"), F.array().cast("array<struct<stmt_id:bigint,boost:double,score:double>>").alias("out"))
-
-    def step(a, t):  # noqa: ANN001, ANN202
-        boost = F.when(a["work"] >= 2, 0.12).when(a["work"] == 1, 0.05).otherwise(0.0) + F.when(a["other"] >= 2, -0.10).otherwise(0.0)
-        score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), t["base"] + boost)), 6)
-        return F.struct(
-            F.when(score >= 0.70, a["work"] + 1).when(score < 0.50, 0).otherwise(a["work"]).alias("work"),
-            F.when(score >= 0.70, 0).when(score < 0.50, a["other"] + 1).otherwise(a["other"]).alias("other"),
-            F.concat(a["out"], F.array(F.struct(t["stmt_id"].alias("stmt_id"), F.round(boost, 6).alias("boost"), score.alias("score")))).alias("out"),
-        )
-
-    return rows.select("meeting_id", F.explode(F.aggregate("turns", zero, step, lambda a: a["out"])).alias("r")).select("meeting_id", "r.*")
+    boost = lambda work, other: round((0.12 if work >= 2 else 0.05 if work == 1 else 0.0) + (-0.10 if other >= 2 else 0.0), 6)
+    score = lambda base, s: round(min(1.0, max(0.0, base + boost(s // 3, s % 3))), 6)
+
+    def after(base: float, s: int) -> int:
+        work, other, x = s // 3, s % 3, score(base, s)
+        work, other = (min(2, work + 1), 0) if x >= 0.70 else (0, min(2, other + 1)) if x < 0.50 else (work, other)
+        return 3 * work + other
+
+    kinds = {"casual": 0.40, "uncertain": 0.55, "other": 0.68}
+    kind = F.when(F.col("semantic_type") == "CASUAL", "casual").when(F.col("semantic_type").isin("OPINION", "UNCERTAINTY"), "uncertain").otherwise("other")
+    by = lambda f: F.element_at(F.create_map(*[x for k, base in kinds.items() for x in (F.lit(k), F.array(*[F.lit(f(base, s)) for s in range(9)]))]), F.col("kind"))
+    rows = numbered(_statements(spark, sf_dir).select("meeting_id", *ORDER, kind.alias("kind")), ["meeting_id"], list(ORDER))
+    states = machine(rows, ["meeting_id"], "pos", 9, by(after))
+    at = F.col("state") + 1
+    return states.select("meeting_id", "stmt_id", F.element_at(F.array(*[F.lit(boost(s // 3, s % 3)) for s in range(9)]), at).alias("boost"), F.element_at(by(score), at).alias("score"))
 
 
 def jn_owners(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,9 +71,10 @@ def agg_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dsp_mfcc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of cepstra of the embeddings, read as signals that repeat."""
+    """Cepstra of the embeddings, read as signals that repeat: the coefficients of each frame."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", F.flatten(F.array_repeat("embedding", 16)).cast("array<double>").alias("x"))
-    return e.select("vec_id", F.size(signal.mfcc_of("x")).alias("n_frames"))
+    frames = e.select("vec_id", F.posexplode(signal.mfcc_of("x")).alias("frame", "c"))
+    return frames.select("vec_id", "frame", F.array_join(F.transform("c", lambda x: F.round(x, 6).cast("string")), " ").alias("coefficients"))
 
 
 def dsp_voice(spark: SparkSession, sf_dir: str) -> DataFrame:

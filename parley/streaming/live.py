@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from parley.operators.sequence import machine, numbered, streamed
+
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 
@@ -46,41 +48,49 @@ ONSET, HANGOVER = 3, 12
 
 
 def voice_states(frames: DataFrame, key: str = "device_id") -> DataFrame:
-    """(key, seq, state): SPEECH from the third active frame in a row on, SILENCE after twelve inactive ones, by a fold over the frames (key, seq, active)."""
-    rows = frames.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", F.col("active").cast("int").alias("active")))).alias("f"))
-    zero = F.struct(F.lit(0).alias("on"), F.lit(0).alias("run"), F.array().cast("array<struct<seq:bigint,on:int>>").alias("out"))
-
-    def step(a, x):  # noqa: ANN001, ANN202
-        run = F.when(F.when(a["on"] == 0, x["active"]).otherwise(1 - x["active"]) == 1, a["run"] + 1).otherwise(0)
-        flips = run >= F.when(a["on"] == 0, ONSET).otherwise(HANGOVER)
-        on = F.when(flips, 1 - a["on"]).otherwise(a["on"])
-        return F.struct(on.alias("on"), F.when(flips, 0).otherwise(run).alias("run"), F.concat(a["out"], F.array(F.struct(x["seq"].cast("bigint").alias("seq"), on.alias("on")))).alias("out"))
+    """(key, seq, state): SPEECH from the third active frame in a row on, SILENCE after twelve inactive ones, of frames (key, seq, active).
 
-    out = rows.select(key, F.explode(F.aggregate("f", zero, step, lambda a: a["out"])).alias("o"))
-    return out.select(key, "o.seq", F.when(F.col("o.on") == 1, "SPEECH").otherwise("SILENCE").alias("state"))
+    A finite machine: ONSET states count active frames in silence, HANGOVER more count inactive ones in speech. Long
+    devices are run in chunks. A null `active` is inactive.
+    """
+    active = F.coalesce(F.col("active").cast("boolean"), F.lit(False))
+    speech = list(range(ONSET, ONSET + HANGOVER))
+    on = [*range(1, ONSET + 1), *[ONSET] * HANGOVER]  # after an active frame; the last silent state leads to speech
+    off = [*[0] * ONSET, *[x + 1 for x in speech[:-1]], 0]
+    step = F.when(active, F.array(*[F.lit(x) for x in on])).otherwise(F.array(*[F.lit(x) for x in off]))
+    rows = numbered(frames.select(key, "seq", "active"), [key], ["seq"], "_pos").withColumn("_next", step)
+    after = machine(rows, [key], "_pos", ONSET + HANGOVER, F.col("_next"), "_state")
+    return after.select(key, F.col("seq").cast("bigint").alias("seq"), F.when(F.element_at("_next", F.col("_state") + 1) >= ONSET, "SPEECH").otherwise("SILENCE").alias("state"))
 
 
 def segments(chunks: DataFrame, key: str = "device_id", gap: int = 5600, cap: int = 160_000, least: int = 4000) -> DataFrame:
-    """(key, start, length): speech segments of chunks (key, seq, n_samples, is_speech), in samples, by a fold.
+    """(key, start, length): speech segments of chunks (key, seq, n_samples, is_speech), in samples.
 
     Pauses up to `gap` are bridged and belong to the segment, longer ones close it; it also closes at `cap`, and counts
-    from `least` on. The last open segment is not given, as more may follow.
+    from `least` on. The last open segment is not given, as more may follow. A null is_speech is none.
     """
-    rows = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", F.col("n_samples").cast("bigint").alias("n"), F.col("is_speech").cast("boolean").alias("speech")))).alias("c"))
-    none = F.lit(-1).cast("bigint")
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("start"), none.alias("spoke"), F.lit(0).cast("bigint").alias("held"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("out"))
 
-    def step(a, x):  # noqa: ANN001, ANN202
-        end, open_ = a["at"] + x["n"], a["start"] >= 0
-        start = F.when(~open_ & x["speech"], a["at"]).otherwise(a["start"])
-        spoke = F.when(x["speech"], end).otherwise(a["spoke"])
-        paused = open_ & ~x["speech"] & (end - a["spoke"] > gap)
-        held = F.when(paused, a["held"]).when(open_ | x["speech"], a["held"] + x["n"]).otherwise(a["held"])
-        closes = (start >= 0) & (paused | (held >= cap))
-        done = F.when(closes & (held >= least), F.array(F.struct(start.alias("start"), held.alias("length")))).otherwise(F.array().cast("array<struct<start:bigint,length:bigint>>"))
-        return F.struct(end.alias("at"), F.when(closes, none).otherwise(start).alias("start"), F.when(closes, none).otherwise(spoke).alias("spoke"), F.when(closes, F.lit(0).cast("bigint")).otherwise(held).alias("held"), F.concat(a["out"], done).alias("out"))
-
-    return rows.select(key, F.explode(F.aggregate("c", zero, step, lambda a: a["out"])).alias("o")).select(key, "o.start", "o.length")
+    def step(a: dict, row: tuple) -> list[tuple]:
+        n, speech = row[2] or 0, bool(row[3])
+        end = a["at"] + n
+        paused = a["start"] is not None and not speech and end - a["spoke"] > gap
+        if a["start"] is None and speech:
+            a["start"], a["held"] = a["at"], 0
+        if speech:
+            a["spoke"] = end
+        if a["start"] is not None and not paused:
+            a["held"] += n
+        out = []
+        if a["start"] is not None and (paused or a["held"] >= cap):
+            if a["held"] >= least:
+                out.append((a["start"], a["held"]))
+            a["start"], a["held"] = None, 0
+        a["at"] = end
+        return out
+
+    rows = chunks.select(key, "seq", F.col("n_samples").cast("bigint").alias("n"), F.col("is_speech").cast("boolean").alias("speech"))
+    kind = dict(chunks.dtypes)[key]
+    return streamed(rows, key, ["seq"], f"{key} {kind}, start bigint, length bigint", lambda: {"at": 0, "start": None, "spoke": 0, "held": 0}, step)
 
 
 def latest(frames: DataFrame, key: str, order: str, n: int) -> DataFrame:
@@ -89,25 +99,27 @@ def latest(frames: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 
 def clustered(voices: DataFrame, key: str = "session_id", radius: float = 35.0, most: int = 6) -> DataFrame:
-    """(key, turn, cluster): online clusters of voices (key, turn, f0, centroid), by a fold.
+    """(key, turn, cluster): online clusters of voices (key, turn, f0, centroid), in order of their turns.
 
     A voice joins the nearest cluster within `radius`, or any nearest one once there are `most`, and pulls it by a fifth;
     else it founds one. Unvoiced turns (null f0) go to the first cluster. Distances are |f0| plus a hundredth of |centroid|.
     """
-    rows = voices.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("turn", "f0", "centroid"))).alias("v"))
-    zero = F.struct(F.array().cast("array<struct<f0:double,c:double>>").alias("k"), F.array().cast("array<struct<turn:bigint,cluster:int>>").alias("out"))
-
-    def step(a, x):  # noqa: ANN001, ANN202
-        ds = F.transform(a["k"], lambda k: F.abs(k["f0"] - x["f0"]) + 0.01 * F.abs(k["c"] - x["centroid"]))
-        near, at = F.array_min(ds), F.array_position(ds, F.array_min(ds)).cast("int")
-        joins = (near <= radius) | (F.size(a["k"]) >= most)
-        pulled = F.transform(a["k"], lambda k, i: F.when(i + 1 == at, F.struct((0.8 * k["f0"] + 0.2 * x["f0"]).alias("f0"), (0.8 * k["c"] + 0.2 * x["centroid"]).alias("c"))).otherwise(k))
-        grown = F.concat(a["k"], F.array(F.struct(x["f0"].cast("double").alias("f0"), x["centroid"].cast("double").alias("c"))))
-        k = F.when(x["f0"].isNull(), a["k"]).when(joins, pulled).otherwise(grown)
-        which = F.when(x["f0"].isNull(), 1).when(joins, at).otherwise(F.size(grown))
-        return F.struct(k.alias("k"), F.concat(a["out"], F.array(F.struct(x["turn"].cast("bigint").alias("turn"), which.alias("cluster")))).alias("out"))
-
-    return rows.select(key, F.explode(F.aggregate("v", zero, step, lambda a: a["out"])).alias("o")).select(key, "o.turn", "o.cluster")
+
+    def step(found: list[list[float]], row: tuple) -> list[tuple]:
+        _, turn, f0, c = row
+        if f0 is None:
+            return [(turn, 1)]
+        c = c or 0.0
+        near = [abs(k[0] - f0) + 0.01 * abs(k[1] - c) for k in found]
+        if near and (min(near) <= radius or len(found) >= most):
+            at = near.index(min(near))
+            found[at] = [0.8 * found[at][0] + 0.2 * f0, 0.8 * found[at][1] + 0.2 * c]
+            return [(turn, at + 1)]
+        found.append([f0, c])
+        return [(turn, len(found))]
+
+    rows = voices.select(key, F.col("turn").cast("bigint").alias("turn"), F.col("f0").cast("double").alias("f0"), F.col("centroid").cast("double").alias("centroid"))
+    return streamed(rows, key, ["turn"], f"{key} {dict(voices.dtypes)[key]}, turn bigint, cluster int", list, step)
 
 
 def _close(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, gap: float) -> Iterator[pd.DataFrame]:
