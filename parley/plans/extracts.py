@@ -12,8 +12,25 @@ from parley.operators.rules import word
 from parley.plans.texts import _sql_tokens
 from parley.sources.tables import table
 
-# Openings that carry no content, in the order in which they are taken off.
-PREAMBLES = (r"^(?:yes|no|yeah|sure|ok|alright)[, -]+", r"^(?:as agreed|as far as [a-z ]+ knows?|according to [a-z]+ ?[a-z]*)[, ]+", r"^(?:honestly|frankly|look|listen|note|well)[,: -]+", r"^(?:anyway|by the way|perfect|great)[,: -]+")
+# Openings that carry no content, in the order in which they are taken off; \x27 is an apostrophe.
+PREAMBLES = (
+    r"^\s*[\*_\[\]\(\)]+\s*",
+    r"^(?:(?:yes|no|yeah|yep|sure|ok|alright|good morning|good morning everyone)[,\s\-]+)+",
+    r"^(?:(?:arsenal|real madrid|barcelona|chelsea|liverpool|india|australia) (?:won|played well|played amazingly)[.!?,\s\-]+)+",
+    r"^(?:(?:it was (?:great|good|fun)|went hiking|had fun|great match|great game)[.!?,\s\-]+)+",
+    r"^(?:(?:but )?(?:speaking of|getting to|getting back to|talking about|regarding) [^.!?]+?[,\s\-]+)+",
+    r"^(?:(?:honestly|frankly|personally|to be honest|look|listen|man|dude|gosh|damn|ugh)[,\s\-]+)+",
+    r"^(?:i (?:really )?(?:hate|dislike|can\x27t stand) (?:this|the|our|working with) [a-zA-Z0-9_\s\-]+?(?:,| but| yet|\.|;)\s*)",
+    r"^(?:this (?:terrible|horrible|annoying|frustrating|broken|stupid|ridiculous) [a-zA-Z0-9_\s\-]+? is (?:so |really )?(?:bad|terrible|annoying|frustrating|ridiculous)[,\s\-]+)+",
+    r"^(?:(?:the |our )?(?:manager|lead|boss|management|finance|team|developer) (?:is|are) (?:being )?(?:useless|incompetent|ridiculous|impossible|lazy|annoying|terrible|stupid|awful)[^.!?]*?(?:because|since|as|\.|;)\s*)",
+    r"^(?:(?:management|leadership|they) (?:doesn\x27t|don\x27t) understand (?:this|the) (?:project|work)[.!?,\s\-]+)+",
+    r"^(?:(?:everyone is|people are) (?:frustrated|upset|angry) with [^.!?]+?[.!?,\s\-]+)+",
+    r"^(?:(?:she|he) (?:never listens|is terrible at (?:her|his) job|never approves anything)[.!?,\s\-]+)+",
+    r"^(?:(?:anyway|anyways|on another note|by the way|excellent|perfect|great)[,\s\-:\.]+)+",
+    r"^(?:(?:this|the) (?:stupid|broken|terrible|annoying) [a-zA-Z0-9_\s\-]+? (?:keeps|is) [^.!?]+?(?:driving everyone crazy|driving us crazy|annoying everyone)[.!?,\s\-]+)",
+    r"^(?:after (?:lunch|dinner|coffee|the break|my break|work)[,\s\-]+)",
+    r"^(?:did you (?:watch|see|hear about) [^.!?]+?[.!?]\s*(?:yes|no|yeah)?[^.!?]*?[.!?]\s*(?:but|speaking of work|anyway)?[,\s\-]+)",
+)
 #: Cues at the start or anywhere in a statement, by kind.
 CUES = {
     "agreement": r"^(?:agreed|approved|yes|sounds good|ok|exactly|both )",
@@ -27,8 +44,6 @@ CUES = {
 DOMAINS = {"engineering": ("firmware", "sensor", "pipeline", "gateway", "cluster", "parser"), "logistics": ("pallet", "conveyor", "warehouse", "container", "label", "packing"), "business": ("budget", "contract", "tender", "invoice", "costs", "proposal")}
 #: Kinds of content that a statement may have, several at once.
 KINDS = {"issue": word("risk|fails?|missing|mixed up|overheats"), "condition": word("if|before|until|once"), "requirement": word("must|needs?|has to"), "status": word("is|was|stays|stands"), "action": word("will|please|let us")}
-GATE = r"(?i)before (\w+) goes live we need (.+?) plus (?:a|an) ([^.]+)"
-RISK = r"(?i)there is a risk that the (.+?) slips since ([^.]+)"
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,19 +116,6 @@ def ext_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).groupBy(F.coalesce(actor, F.lit("none")).alias("actor"), "semantic_type").agg(F.count("*").alias("n"))
 
 
-def ext_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Release gates: what is needed before what goes live."""
-    part = lambda i: F.regexp_extract("clean_text", GATE, i)
-    rows = _texts(spark, sf_dir).where(F.col("clean_text").rlike(GATE))
-    return rows.select("stmt_id", part(1).alias("target"), F.posexplode(F.array(part(2), part(3))).alias("condition_no", "condition"))
-
-
-def ext_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Risks with their causes."""
-    part = lambda i: F.regexp_extract("clean_text", RISK, i)
-    return _texts(spark, sf_dir).where(F.col("clean_text").rlike(RISK)).select("stmt_id", part(1).alias("problem"), part(2).alias("cause"))
-
-
 def flt_deliverables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks of three words or more that name something to deliver."""
     words = T.tokens(F.col("full_description"))
@@ -157,7 +159,7 @@ _bare = reduce(lambda t, p: f"regexp_replace({t}, '(?i){p}', '', 'g')", PREAMBLE
 _n = "len(string_split_regex(trim(clean_text), '\\s+'))"
 _greatest = f"greatest({', '.join(DOMAINS)})"
 
-QUERIES = {f.__name__: f for f in (txt_preambles, flt_cues, flt_narrative, cls_quality, agg_transcript_quality, cls_domains, cls_kinds, ext_actors, ext_gates, ext_risks, flt_deliverables, flt_names, jn_subsumed, rpt_notes, gen_frames)}
+QUERIES = {f.__name__: f for f in (txt_preambles, flt_cues, flt_narrative, cls_quality, agg_transcript_quality, cls_domains, cls_kinds, ext_actors, flt_deliverables, flt_names, jn_subsumed, rpt_notes, gen_frames)}
 SQL = {
     "txt_preambles": f"WITH {_TX} SELECT stmt_id, upper(b[1]) || b[2:] AS content FROM (SELECT stmt_id, trim({_bare}) AS b FROM tx)",
     "flt_cues": f"WITH {_TX} SELECT semantic_type, cue, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT semantic_type, '{k}' AS cue FROM tx WHERE {_m(p)}" for k, p in CUES.items()) + ") GROUP BY 1, 2",
@@ -168,8 +170,6 @@ SQL = {
     "cls_domains": f"WITH {_TX}, d AS (SELECT meeting_id, " + ", ".join("(" + " + ".join(f"max(contains(low, '{w}')::INT)" for w in ws) + f") AS {d}" for d, ws in DOMAINS.items()) + f" FROM tx GROUP BY 1) SELECT meeting_id, CASE WHEN {_greatest} = 0 THEN 'general' " + " ".join(f"WHEN {d} = {_greatest} THEN '{d}'" for d in DOMAINS) + f" END AS domain, round(least(0.95, 0.6 + 0.05 * {_greatest})::DOUBLE, 6) AS confidence FROM d",
     "cls_kinds": f"WITH {_TX} SELECT kind, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind FROM tx WHERE {_m(p)}" for k, p in KINDS.items()) + ") GROUP BY 1",
     "ext_actors": f"WITH {_TX} SELECT CASE WHEN {_m('^i (?:will|can|am)')} THEN 'speaker' WHEN {_m('^(?:we|let us|our) ')} THEN 'group' WHEN {_m('^(?:please|could|can|would) |^keep ')} THEN 'addressee' WHEN {_m('^(?:the )?[a-z]+ ?[a-z]* (?:asked|found|will|has to) ')} THEN 'third' ELSE 'none' END AS actor, semantic_type, count(*) AS n FROM tx GROUP BY 1, 2",
-    "ext_gates": f"WITH {_TX} SELECT stmt_id, regexp_extract(clean_text, '{GATE}', 1) AS target, unnest([0, 1])::INT AS condition_no, unnest([regexp_extract(clean_text, '{GATE}', 2), regexp_extract(clean_text, '{GATE}', 3)]) AS condition FROM tx WHERE {_m(GATE, 'clean_text')}",
-    "ext_risks": f"WITH {_TX} SELECT stmt_id, regexp_extract(clean_text, '{RISK}', 1) AS problem, regexp_extract(clean_text, '{RISK}', 2) AS cause FROM tx WHERE {_m(RISK, 'clean_text')}",
     "flt_deliverables": f"WITH {_TK}, w AS (SELECT node_id, {_sql_tokens('full_description')} AS t FROM tk WHERE full_description IS NOT NULL) SELECT node_id, len(t)::INT AS n_words FROM w WHERE len(t) >= 3 AND list_has_any(t, ['report', 'contract', 'pipeline', 'runbook', 'dashboard', 'budget', 'manifest', 'survey', 'policy', 'invoice-feed'])",
     "flt_names": f"WITH {_TK}, f AS (SELECT regexp_extract(trim(owner), '^([A-Za-z]+)', 1) AS w FROM tk WHERE owner IS NOT NULL) SELECT upper(lower(w)[1]) || lower(w)[2:] AS name, count(*) AS n FROM f WHERE length(w) BETWEEN 2 AND 20 AND lower(w) NOT IN ('team', 'unclear', 'tbd', 'unspecified', 'speaker', 'qa', 'whoever', 'the') GROUP BY 1",
     "jn_subsumed": "WITH e AS (SELECT DISTINCT meeting_id, lower(entity) AS entity FROM statements WHERE entity IS NOT NULL) SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e l WHERE l.meeting_id = e.meeting_id AND length(l.entity) > length(e.entity) AND contains(l.entity, e.entity))",

@@ -271,7 +271,45 @@ def top_topics(d: Spark) -> str:
       SELECT meeting_id, concat(upper(substring(entity, 1, 1)), substring(entity, 2)) AS topic, n FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY n DESC, first_pos, entity) AS r FROM w) z WHERE r <= 4"""
 
 
-_NEAR = (txt_utterances, txt_restored, txt_guarded, txt_casual, gen_entities, gen_actors, gen_facts, flt_rants, flt_classes, flt_topics, flt_procedure, flt_blockers, flt_dangling, flt_view, cls_wrapped, cls_roles, agg_emitted_weights, cls_acts, cls_intents, cls_types,
+def _sentences(d: Spark) -> str:
+    """Every sentence of every clause, in lower case."""
+    return f"({d.exploded('meeting_id, pos', d.parts('low', r'[.!?]+(?:\s+|$)'), 'k', 's', 'near')})"
+
+
+_QUANTITY = r"(\$?\d[\d,.]*\s*(?:%|percent|units|points|hours?|minutes?|seconds?|days?|users|requests)?)"
+MOVED = rf"(.+?)\s+(?:went|increased|decreased|dropped|changed|rose|fell|moved|grew)\s+from\s+{_QUANTITY}\s*to\s+{_QUANTITY}"
+NEEDS = r"(.+?)\s+(?:depends on|needs|requires|relies on|can (?:begin|proceed|start) only after|only after)\s+(.+)"
+GATED = r"(?:before|until)\s+(.+?)\s+(?:goes live|starts|ships|launches|is released|opens),?\s+(?:we need|we must|it needs)\s+(.+)|(.+?)\s+(?:must (?:pass|succeed|be (?:granted|done|completed))|is required)\s+(?:before|for)\s+(.+)|(.+?)\s+cannot (?:proceed|ship|start|launch) until\s+(.+)"
+RISKY = r"(?:risk that|danger that|worried that|may fail if)\s+(.+?)(?:\s+(?:since|because|as|due to)\s+(.+))?$"
+
+
+def ext_changes(d: Spark) -> str:
+    """What changed from which value to which, in every sentence."""
+    part = lambda i: f"trim({d.get('s', MOVED, i)})"
+    return f"SELECT meeting_id, pos, k, {part(1)} AS subject, {part(2)} AS old_value, {part(3)} AS new_value FROM {_sentences(d)} q WHERE {d.has('s', MOVED)}"
+
+
+def ext_dependencies(d: Spark) -> str:
+    """Edges from an outcome to each of the things that it needs, in every sentence."""
+    things = d.keep(d.each(d.parts("things", r"\s*(?:,|;|\band (?:on )?)\s*"), "x", "trim(x)"), "x", "x <> ''")
+    inner = f"(SELECT meeting_id, pos, k, trim({d.get('s', NEEDS, 1)}) AS outcome, {d.get('s', NEEDS, 2)} AS things FROM {_sentences(d)} q WHERE {d.has('s', NEEDS)}) p"
+    return d.exploded("meeting_id, pos, k, outcome", things, "n", "prerequisite", inner)
+
+
+def ext_gates(d: Spark) -> str:
+    """Release gates in every sentence: the target and each condition that it waits for."""
+    first = lambda *g: "concat(" + ", ".join(d.get("s", GATED, i) for i in g) + ")"
+    conditions = d.keep(d.each(d.parts("c", r"\s*(?:,|;|\bplus\b|\band\b)\s*"), "x", "trim(x)"), "x", "x <> ''")
+    inner = f"(SELECT meeting_id, pos, k, trim({first(1, 4, 5)}) AS target, {first(2, 3, 6)} AS c FROM {_sentences(d)} q WHERE {d.has('s', GATED)}) p"
+    return d.exploded("meeting_id, pos, k, target", conditions, "n", "cond", inner)
+
+
+def ext_risks(d: Spark) -> str:
+    """Risks in every sentence, with their cause where one is told."""
+    return f"SELECT meeting_id, pos, k, trim({d.get('s', RISKY, 1)}) AS problem, nullif(trim({d.get('s', RISKY, 2)}), '') AS cause FROM {_sentences(d)} q WHERE {d.has('s', RISKY)}"
+
+
+_NEAR = (ext_changes, ext_dependencies, ext_gates, ext_risks, txt_utterances, txt_restored, txt_guarded, txt_casual, gen_entities, gen_actors, gen_facts, flt_rants, flt_classes, flt_topics, flt_procedure, flt_blockers, flt_dangling, flt_view, cls_wrapped, cls_roles, agg_emitted_weights, cls_acts, cls_intents, cls_types,
          win_vocatives, win_why, cls_decisions, ext_synthesised, ext_when, ext_scope, jn_cosine, agg_block, top_topics)
 _STORED = (cls_actions, flt_guardrails, ext_deadlines, ext_tasks, ext_owners, jn_merged)
 _TABLES = ("statements", "task_nodes", "meetings")

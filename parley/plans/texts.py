@@ -128,26 +128,6 @@ def ext_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("kind is not null")
 
 
-CHANGE = r"(?i)the ([a-z-]+) in (\w+) went from (\$?[\d,.]*\d(?: percent| units)?) to (\$?[\d,.]*\d(?: percent| units)?)"
-
-
-def ext_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What went from which value to which."""
-    part = lambda i: F.regexp_extract("clean_text", CHANGE, i)
-    rows = _statements(spark, sf_dir, "clean_text").where(F.col("clean_text").rlike(CHANGE))
-    return rows.select("stmt_id", part(1).alias("subject"), part(2).alias("place"), part(3).alias("old_value"), part(4).alias("new_value"))
-
-
-DEPENDS = r"(?i)release (\S+) depends on (.+?) and on ([^.]+)"
-
-
-def ext_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges from a release to what it depends on."""
-    part = lambda i: F.regexp_extract("clean_text", DEPENDS, i)
-    rows = _statements(spark, sf_dir, "clean_text").where(F.col("clean_text").rlike(DEPENDS))
-    return rows.select("stmt_id", part(1).alias("outcome"), F.explode(F.array(part(2), part(3))).alias("prerequisite"))
-
-
 def ext_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First words of task descriptions, with the number of tasks and of owners."""
     rows = table(spark, sf_dir, "task_nodes", "node_id", "full_description", "owner").where("full_description is not null")
@@ -197,7 +177,7 @@ gated AS (SELECT meeting_id, turn_idx, stmt_id, clause_idx, clause,
 _n = lambda *c: f"count(*) FILTER (category IN ({', '.join(repr(x) for x in c)}))"
 _TEMP = lambda what: "CASE " + " ".join(f"WHEN regexp_matches(low, '{p}') THEN " + (f"'{k}'" if what == "kind" else f"trim(regexp_extract(low, '{p}', 0))") for k, p in TEMPORAL) + " END"
 
-QUERIES = {f.__name__: f for f in (txt_tokens, txt_stems, txt_sentences, txt_markup, txt_stutter, txt_labels, txt_capitals, txt_numbers, gen_clauses, gen_metrics, gen_phrases, cls_gate, agg_audit, agg_gate_classes, ext_temporal, ext_changes, ext_dependencies, ext_verbs)}
+QUERIES = {f.__name__: f for f in (txt_tokens, txt_stems, txt_sentences, txt_markup, txt_stutter, txt_labels, txt_capitals, txt_numbers, gen_clauses, gen_metrics, gen_phrases, cls_gate, agg_audit, agg_gate_classes, ext_temporal, ext_verbs)}
 SQL = {
     "txt_tokens": f"SELECT stmt_id, len(t)::INT AS n_tokens, array_to_string(t, ' ') AS tokens FROM {_TOK}",
     "txt_stems": f"SELECT {_sql_stem('w')} AS stem, count(*) AS n FROM (SELECT unnest(t) AS w FROM {_TOK}) GROUP BY ALL",
@@ -218,7 +198,5 @@ SQL = {
       {_n('QUESTION')} AS questions, {_n('TARGET', 'CURRENT_VALUE', 'HISTORICAL_VALUE', 'PROFESSIONAL_FACT')} AS facts, {_n('CASUAL', 'GOSSIP', 'SARCASM', 'BADMOUTHING', 'EMOTIONAL_VENTING')} AS casual FROM gated GROUP BY ALL""",
     "agg_gate_classes": f"WITH {_CLAUSES} SELECT category, is_retained, count(*) AS n, round(avg(confidence::DOUBLE), 6) AS mean_confidence FROM gated GROUP BY ALL",
     "ext_temporal": f"SELECT * FROM (SELECT stmt_id, {_TEMP('kind')} AS kind, {_TEMP('expr')} AS expr FROM (SELECT stmt_id, lower(clean_text) AS low FROM {_ST.format('clean_text')} WHERE clean_text IS NOT NULL) WHERE NOT (regexp_matches(low, '{PAST}') AND NOT regexp_matches(low, '{AHEAD}'))) WHERE kind IS NOT NULL",
-    "ext_changes": f"SELECT stmt_id, regexp_extract(clean_text, '{CHANGE}', 1) AS subject, regexp_extract(clean_text, '{CHANGE}', 2) AS place, regexp_extract(clean_text, '{CHANGE}', 3) AS old_value, regexp_extract(clean_text, '{CHANGE}', 4) AS new_value FROM {_ST.format('clean_text')} WHERE regexp_matches(clean_text, '{CHANGE}')",
-    "ext_dependencies": f"SELECT stmt_id, regexp_extract(clean_text, '{DEPENDS}', 1) AS outcome, unnest([regexp_extract(clean_text, '{DEPENDS}', 2), regexp_extract(clean_text, '{DEPENDS}', 3)]) AS prerequisite FROM {_ST.format('clean_text')} WHERE regexp_matches(clean_text, '{DEPENDS}')",
     "ext_verbs": "SELECT lower(regexp_extract(full_description, '^\\W*(\\w+)', 1)) AS verb, count(DISTINCT node_id) AS n_tasks, count(DISTINCT owner) AS n_owners FROM task_nodes WHERE full_description IS NOT NULL GROUP BY ALL",
 }
