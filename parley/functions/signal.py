@@ -86,6 +86,19 @@ def dtw(a: np.ndarray, b: np.ndarray, band: int = 15, metric: str = "cosine") ->
     return float("inf")
 
 
+def spotted(segment: np.ndarray, template: np.ndarray) -> float:
+    """The warped distance of a template to a segment; in a segment of over 1.6 times its length, to the nearest window of 1.3 times it.
+
+    Windows are a quarter of the template apart, three frames at least.
+    """
+    n, m = len(segment), len(template)
+    if not n or not m or n <= 1.6 * m:
+        return dtw(segment, template)
+    size, step = max(1, int(1.3 * m)), max(3, m // 4)
+    starts = {*range(0, n - size + 1, step), n - size}
+    return min(dtw(segment[i : i + size], template) for i in starts)
+
+
 def pitch(frame: np.ndarray, rate: int = RATE, low: float = 50, high: float = 500) -> float:
     """Fundamental frequency by the autocorrelation of the centre-clipped frame; nan where it is weak."""
     x = np.asarray(frame, float)
@@ -128,6 +141,13 @@ def dtw_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([float("nan") if x is None or y is None else dtw(as_matrix(x), as_matrix(y)) for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.DoubleType())
+def spotted_of(segments: pd.Series, templates: pd.Series) -> pd.Series:
+    """The least distance of an array of templates to each segment."""
+    as_matrix = lambda x: np.array([np.asarray(r, float) for r in x]) if len(x) else np.zeros((0, 1))
+    return pd.Series([float("nan") if s is None or t is None or not len(t) else min(spotted(as_matrix(s), as_matrix(x)) for x in t) for s, t in zip(segments, templates, strict=True)])
+
+
 @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("f0", "centroid", "flatness")]))
 def voice_of(samples: pd.Series) -> pd.DataFrame:
     rows = [(pitch(x), centroid(np.asarray(x, float)), flatness(np.asarray(x, float))) if x is not None and len(x) else (None, None, None) for x in samples]

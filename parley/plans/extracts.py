@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
@@ -141,7 +141,9 @@ def rpt_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes of each meeting: up to five statements of each kind on one card."""
     kinds = F.when(F.col("semantic_type").isin("DECISION", "SCOPE_CHANGE"), "decisions").when(F.col("semantic_type").isin("CONFIRMED_ACTION", "CONDITIONAL_ACTION"), "tasks").when(F.col("semantic_type").isin("RISK", "BLOCKER"), "risks").when(F.col("semantic_type") == "QUESTION", "open")
     rows = _texts(spark, sf_dir).withColumn("card", kinds).where("card is not null")
-    return rows.groupBy("meeting_id", "card").agg(F.count("*").alias("n"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("stmt_id", "clean_text"))), 1, 5), lambda x: x["clean_text"]), "\n").alias("items"))
+    card = Window.partitionBy("meeting_id", "card")
+    first = rows.select("meeting_id", "card", "stmt_id", "clean_text", F.count("*").over(card).alias("n"), F.row_number().over(card.orderBy("stmt_id", "clean_text")).alias("k")).where("k <= 5")
+    return first.groupBy("meeting_id", "card", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "clean_text"))), lambda x: x["clean_text"]), "\n").alias("items"))
 
 
 def gen_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

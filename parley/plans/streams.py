@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import signal
-from parley.sources.tables import table
+from parley.sources.tables import cut, table
 from parley.streaming import live
 
 
@@ -84,17 +84,25 @@ def dsp_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dsp_spotting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The label whose first embedding is nearest to each by time warping, of frames of eight values."""
-    frames = lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.col(c).cast("array<double>"), i * 8 + 1, F.lit(8)))
+    """Keywords in each embedding, read as eight frames of eight values: the label of which one of three templates is nearest.
+
+    Templates are the first four frames of a label's first three embeddings, so they are slid over the segments. The
+    template table has a row for each label; it is repeated for the segments by a broadcast join of its checked size.
+    """
+    frames = lambda c, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice(F.col(c).cast("array<double>"), i * 8 + 1, F.lit(8)))
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    templates = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("t")).select(F.col("label").alias("keyword"), frames("t").alias("template"))
-    every = templates.agg(F.collect_list(F.struct("keyword", "template"))).scalar()  # one for each label
-    met = e.select("vec_id", frames("embedding").alias("f"), F.explode(every).alias("t")).select("vec_id", "f", "t.*")
-    d = met.select("vec_id", "keyword", signal.dtw_of("f", "template").alias("d"))
+    ranked = e.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("k <= 3")
+    templates = cut(ranked.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", frames("embedding", 4).alias("t")))).alias("ts")).select(F.col("label").alias("keyword"), F.col("ts.t").alias("templates"), F.lit(0).alias("one")))
+    small = templates.count() <= KEYWORDS
+    segments = e.select("vec_id", frames("embedding", 8).alias("f"), F.lit(0).alias("one"))
+    met = segments.join(F.broadcast(templates) if small else templates, "one")  # beyond KEYWORDS a shuffled join of the blocks
+    d = met.select("vec_id", "keyword", signal.spotted_of("f", "templates").alias("d"))
     best = d.groupBy("vec_id").agg(F.min_by("keyword", F.struct("d", "keyword")).alias("keyword"), F.min("d").alias("d"))
     return best.where("d <= 1.15").select("vec_id", "keyword", F.round("d", 6).alias("distance"), F.round(1 - F.col("d") / 1.15, 6).alias("confidence"))
 
 
+#: Keywords up to which the templates are broadcast.
+KEYWORDS = 10_000
 _FR = "fr AS (SELECT user_id AS device_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, value, value > 20 AS active FROM events)"
 QUERIES = {f.__name__: f for f in (str_tumbling, str_sliding, str_sessions, str_voice_states, str_segments, str_ring, str_clusters, agg_energy, agg_crossings, dsp_mfcc, dsp_voice, dsp_spotting)}
 SQL = {

@@ -112,3 +112,12 @@ def test_kernels():
                 D[i, j] = cost[i - 1, j - 1] + min(D[i - 1, j - 1], D[i - 1, j], D[i, j - 1])
     assert signal.dtw(x, y) == pytest.approx(D[30, 40] / 70)
     assert len(signal.resampled(tone, 16000, 8000)) == 8000
+
+
+def test_keyword_within_a_longer_segment():
+    r = np.random.default_rng(2)
+    word = r.normal(size=(12, 5))
+    segment = np.concatenate([r.normal(size=(20, 5)), word, r.normal(size=(17, 5))])
+    other = r.normal(size=(12, 5))
+    assert signal.spotted(segment, word) < 0.3 < signal.spotted(segment, other)
+    assert signal.spotted(word, word) == signal.dtw(word, word) and signal.spotted(np.zeros((0, 5)), word) == float("inf")
