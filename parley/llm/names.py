@@ -23,7 +23,7 @@ from parley.operators.skew import salted_join
 from parley.sources.tables import cut
 
 #: Pivots; typed names, and forms of the roster, that a task compares at once.
-PIVOTS, TASK = 16, 4000
+PIVOTS, TASK = 16, 1000
 #: Forms, by the order of a hash, of which the pivots are chosen; all forms are placed and joined.
 SAMPLE = 5000
 #: Greatest radius; short forms have a smaller one, see radius().
