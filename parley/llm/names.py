@@ -23,7 +23,7 @@ from parley.operators.skew import salted_join
 from parley.sources.tables import cut
 
 #: Pivots; typed names, and forms of the roster, that a task compares at once.
-PIVOTS, TASK = 16, 1000
+PIVOTS, TASK = 16, 4000
 #: Forms, by the order of a hash, of which the pivots are chosen; all forms are placed and joined.
 SAMPLE = 5000
 #: Greatest radius; short forms have a smaller one, see radius().
@@ -270,9 +270,10 @@ def resolved(typed: DataFrame, roster: DataFrame, count: int = PIVOTS, task: int
 
     # few bytes but much work: a fixed number of partitions isn't coalesced
     spread = typed.sparkSession.sparkContext.defaultParallelism * 2
-    names = cut(typed.select("typed").where("typed is not null").distinct().repartition(spread, "typed").mapInArrow(_cleaned, "typed string, name string").where("name <> ''"))
-    queries = cut(names.select("name").distinct().repartition(spread, "name").mapInArrow(placed, "name string, cell int, v binary"))
-    right = cut(forms.repartition(spread, "form").mapInArrow(reached, "form string, entity_id long, most int, v binary, cell int"))
+    even = lambda df, c: df.repartitionById(spread, F.pmod(F.hash(c), F.lit(spread)))
+    names = cut(even(typed.select("typed").where("typed is not null").distinct(), "typed").mapInArrow(_cleaned, "typed string, name string").where("name <> ''"))
+    queries = cut(even(names.select("name").distinct(), "name").mapInArrow(placed, "name string, cell int, v binary"))
+    right = cut(even(forms, "form").mapInArrow(reached, "form string, entity_id long, most int, v binary, cell int"))
     counts = cut(queries.groupBy("cell").agg(F.count("*").alias("q")).join(right.groupBy("cell").agg(F.count("*").alias("f")), "cell", "full"))  # a row for each pivot
     left = _split(queries, counts, "q", "f", task, "name")
     other = _split(right, counts, "f", "q", task, "form")
